@@ -4,8 +4,9 @@ A sequence of tokens is what the merges give for its bytes if and only if each t
 the merges give for theirs. So the prefixes of a piece form a chain of (token, previous token) choices,
 and the machine that guesses where the open token began is a finite transducer. Its subset construction
 is done lazily: a state is the set of live guesses (bytes of the open token, last token, tokens not yet
-written), made when first met and kept in a bounded table. A token is written as soon as all live guesses
-share it, at most the longest token's length later.
+written), made when first met and kept. A token is written as soon as all live guesses share it, at most
+the longest token's length later. The table of states is bounded; when it is full, a piece that needs a
+state it lacks is run on the guesses themselves, with the same result.
 
 Runs of whole pieces from the start state are kept too (they are one long transition), in a bounded table.
 
@@ -17,8 +18,10 @@ null doc_id give their own results; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -29,7 +32,7 @@ from .common import documents, rows_of
 #: White space as Unicode's property has it; Python's \s also has the separators 1C to 1F.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
-STATES, PIECES, PAIRS = 60_000, 300_000, 400_000
+STATES, PIECES, PAIRS = 25_000, 700_000, 500_000
 
 
 def pattern_of(public: str) -> regex.Pattern:
@@ -38,6 +41,21 @@ def pattern_of(public: str) -> regex.Pattern:
     return regex.compile(inside)
 
 
+#: The pattern whose fast form follows. Fixed value.
+KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+
+
+def splitter_of(public: str) -> Callable[[str], list[str]]:
+    """A function from text to the pattern's matches. Texts of ASCII and Latin-1 letters alone, where classes can be spelled out, take a faster path."""
+    full = pattern_of(public).findall
+    if public != KNOWN:
+        return full
+    fast = re.compile(rf" ?[{LATIN}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\t-\r 0-9{LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+    other = re.compile(rf"[^\x00-\x7f{LATIN}]").search
+    return lambda text: full(text) if other(text) else fast(text)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, file)))}
@@ -69,7 +87,21 @@ class Transducer:
         self.open = {t[:k] for t in ranks for k in range(1, len(t))}
         self.lookahead = max(map(len, ranks))
         self.fits_: dict[tuple[int, int], bool] = {}
-        self.steps: dict[tuple, dict[int, tuple]] = {}
+        # states by number: their guesses, their known steps, and what the end of a piece writes
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: list[dict[int, tuple[int, tuple]]] = []
+        self.last: list[tuple] = []
+        self._number(self.START)
+
+    def _number(self, state: tuple) -> int:
+        found = self.numbers.get(state)
+        if found is None:
+            found = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+            self.last.append(next(w for p, _, w in state if not p))
+        return found
 
     def fits(self, last: int, token: int) -> bool:
         key = (last, token)
@@ -99,20 +131,45 @@ class Transducer:
             k += 1
         return tuple((p, t, w[k:]) for p, t, w in live), done[2][:k]
 
+    def _step(self, number: int, byte: int) -> tuple[int, tuple] | None:
+        """Determinise one more step, while the table of states has room."""
+        if len(self.states) >= self.limit:
+            return None
+        state, written = self._determine(self.states[number], bytes((byte,)))
+        found = self.steps[number][byte] = (self._number(state), written)
+        return found
+
+    def _simulate(self, piece: bytes) -> list[int]:
+        """The same machine without determinisation: for each place, the one token that ends there."""
+        ranks, fits, known, most = self.ranks, self.fits, self.fits_.get, self.lookahead
+        ends = [(-1, 0)]
+        for end in range(1, len(piece) + 1):
+            for start in range(max(0, end - most), end):
+                token = ranks.get(piece[start:end])
+                if token is not None:
+                    last = ends[start][0]
+                    good = known((last, token))
+                    if good or good is None and fits(last, token):
+                        ends.append((token, start))
+                        break
+            else:
+                raise ValueError(f"no token ends here: the vocabulary lacks the byte {piece[end - 1 : end]!r}")
+        out, at = [], len(piece)
+        while at:
+            token, at = ends[at]
+            out.append(token)
+        return out[::-1]
+
     def run(self, piece: bytes) -> list[int]:
-        state, out, steps = self.START, [], self.steps
-        for i in range(len(piece)):
-            known = steps.get(state)
-            if known is None:
-                if len(steps) >= self.limit:
-                    steps.clear()
-                known = steps[state] = {}
-            found = known.get(piece[i])
+        number, out, steps = 0, [], self.steps
+        for byte in piece:
+            found = steps[number].get(byte) or self._step(number, byte)
             if found is None:
-                found = known[piece[i]] = self._determine(state, piece[i : i + 1])
-            state, written = found
-            out += written
-        out += next(w for p, _, w in state if not p)
+                return self._simulate(piece)
+            number, written = found
+            if written:
+                out += written
+        out += self.last[number]
         return out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -166,13 +223,13 @@ class Codec:
 
     def __init__(self, path: str, public_pattern: str):
         self.machine = Transducer(load_ranks(path))
-        self.split = pattern_of(public_pattern).findall
+        self.split = splitter_of(public_pattern)
         self.pieces: dict[str, str] = {}
 
     def _joined(self, piece: str) -> str:
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        out = self.pieces[piece] = ",".join(map(str, self.machine.encode(piece.encode())))
+        out = ",".join(map(str, self.machine.encode(piece.encode())))
+        if len(self.pieces) < PIECES and len(piece) < 64:  # frequent pieces come early; later ones are run each time
+            self.pieces[piece] = out
         return out
 
     def encode_joined(self, text: str) -> str:
@@ -197,11 +254,17 @@ class Codec:
         yield machine.feed(self.decode_bytes(waiting)) + machine.close()
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(path: str, public_pattern: str) -> Codec:
+    """The codec of a Python worker, which outlives single tasks."""
+    return Codec(path, public_pattern)
+
+
 def codec_rows(docs: DataFrame, path: str, public_pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_chars (code points of the streamed decoding) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, public_pattern)
+        codec = codec_of(path, public_pattern)
         tokens = {str(i): t for i, t in codec.machine.tokens.items()}
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
