@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -90,37 +90,38 @@ def _template_sql() -> list[tuple[str, int, str]]:
     return out
 
 
-def _bounds(size: Column, limit: float) -> tuple[Column, Column]:
-    return size * (limit / (2 - limit)), size * ((2 - limit) / limit)
-
-
 def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """doc_id, license, dice (6 decimals), unit, unit_no: the best unit of each licence found in a document."""
     templates = _template_sql()
-    smallest, largest = min(n for _, n, _ in templates), max(n for _, n, _ in templates)
-    text = documents(docs).where("text is not null")
-    units = text.select(
-        "doc_id",
-        F.expr(
-            "concat("
-            "transform(split(text, '\\n', -1), (x, i) -> named_struct('kind', 0, 'no', i, 'part', x)), "
-            "if(text rlike '\\\\n[\\\\x20\\\\t\\\\r]*\\\\n', transform(split(text, '\\\\n[\\\\x20\\\\t\\\\r]*\\\\n', -1), (x, i) -> named_struct('kind', 1, 'no', i, 'part', x)), array()), "
-            "if(instr(text, '\\n') > 0, array(named_struct('kind', 2, 'no', 0, 'part', text)), array()))"
-        ).alias("units"),
-    )
-    each = units.select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.kind", "u.no", "u.part")
-    # Words are at least as many as distinct bigrams + 1, so a short unit is out by its word count; what
-    # repeats its bigrams can't be ruled out by words, so the upper bound is taken on distinct bigrams.
-    normal = F.trim(F.regexp_replace(F.lower(F.regexp_replace("part", F.lit(HOLDER.replace(r"\x20", " ").replace(r"\xA9", "©")), F.lit(" "))), F.lit("[^a-z0-9]+"), F.lit(" ")))
-    worded = each.withColumn("w", F.split(normal, " ")).where(F.size("w") - 1 >= smallest * limit / (2 - limit))
-    # the one-element array binds the words once; as a bare column they would be split again for each bigram
-    grams_of = "element_at(transform(array(w), v -> array_distinct(zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v) - 1), (x, y) -> concat(x, ' ', y)))), 1)"
-    sized = worded.select("doc_id", "kind", "no", F.expr(grams_of).alias("b")).withColumn("n", F.size("b"))
-    sized = sized.where(F.col("n") <= largest * (2 - limit) / limit)
-    tests = []
-    for name, size, grams in templates:
-        low, high = size * limit / (2 - limit), size * (2 - limit) / limit
-        tests.append(f"if(n >= {low!r}D and n <= {high!r}D, named_struct('d', round(-2D * size(array_intersect(b, {grams})) / (n + {size}), 6), 'license', '{name}'), null)")
+    ratio = limit / (2 - limit)  # sizes of similar units differ by this factor at most
+    low, high = min(n for _, n, _ in templates) * ratio, max(n for _, n, _ in templates) / ratio
+    known = ", ".join(sorted({g for _, _, grams in templates for g in grams[6:-1].split(", ")}))
+    lowered = F.lower("text")
+    named = lowered.contains("copyright") | lowered.contains("(c)") | lowered.contains("\xa9")
+    holders = F.regexp_replace(lowered, F.lit(HOLDER.replace(r"\x20", " ").replace(r"\xA9", "\xa9")), F.lit(" "))
+    text = documents(docs).where("text is not null").select("doc_id", F.when(named, holders).otherwise(lowered).alias("text"))
+    # every run of other characters becomes a space, but line ends stay
+    plain = text.select("doc_id", F.regexp_replace("text", r"[^a-z0-9\n]+", " ").alias("text"))
+    part = lambda kind, texts: f"transform({texts}, (x, i) -> named_struct('kind', {kind}, 'no', i, 'part', trim(translate(x, '\\n', ' '))))"
+    # a unit's words, bound once; as many distinct bigrams as distinct words but one, so texts with more than the bound are out before bigrams are made
+    grams = (
+        "transform(array(split(u.part, ' +')), v -> if(u.kind > 0 and size(array_distinct(v)) - 1 > "
+        f"{high!r}D, array(), array_distinct(zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v) - 1), (x, y) -> concat(x, ' ', y)))))[0]"
+    )
+    units = (
+        f"concat({part(0, chr(39).join(['split(text, ', chr(92) + 'n', ', -1)']))}, "
+        f"if(text rlike r'\n *\n', {part(1, chr(39).join(['split(text, r', chr(92) + 'n *' + chr(92) + 'n', ', -1)']))}, array()), "
+        f"if(instr(text, '\\n') > 0, {part(2, 'array(text)')}, array()))"
+    )
+    worded = f"filter({units}, u -> char_length(u.part) - char_length(replace(u.part, ' ', '')) >= {low!r}D)"
+    made = f"transform({worded}, u -> named_struct('kind', u.kind, 'no', u.no, 'b', {grams}))"
+    # by the same bounds, so much of a similar unit must be in some template
+    gated = f"filter({made}, u -> size(u.b) >= {low!r}D and size(u.b) <= {high!r}D and size(filter(u.b, y -> y in ({known}))) >= {ratio!r}D * size(u.b) - 1e-9D)"
+    sized = plain.select("doc_id", F.explode(F.expr(gated)).alias("u")).select("doc_id", "u.kind", "u.no", "u.b", F.size("u.b").alias("n"))
+    tests = [
+        f"if(n >= {size * ratio!r}D and n <= {size / ratio!r}D, named_struct('d', round(-2D * size(array_intersect(b, {grams})) / (n + {size}), 6), 'license', '{name}'), null)"
+        for name, size, grams in templates
+    ]
     closest = sized.select("doc_id", "kind", "no", F.array_min(F.expr(f"array({', '.join(tests)})")).alias("m")).where(F.col("m.d") <= -limit)
     matched = closest.select("doc_id", "kind", "no", F.col("m.license").alias("license"), F.col("m.d").alias("d"))
     best = F.min(F.struct("d", "kind", "no"))
