@@ -17,7 +17,9 @@ that bounds what the driver holds and changes sizes only, never contents.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -34,7 +36,7 @@ from .common import create, documents, materialize, open_random, rows_of, shared
 
 MAGIC = b"TMTOKEN1"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u8"), ("before", "<u8"), ("ids", "<u8")])
-PIECES = 300_000
+PIECES = 1_000_000
 #: Documents whose ids train the dictionary, at most.
 SAMPLE = 1000
 
@@ -43,31 +45,40 @@ class IdEncoder:
     """Ids by the tokenizers library; those of each piece of its splitting pattern are kept, in a bounded table."""
 
     def __init__(self, path: str, public_pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        from .bpe import pattern_of
+        from .bpe import splitter_of
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.split = pattern_of(public_pattern).findall
+        self.split = splitter_of(public_pattern)
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        out = self.pieces[piece] = self._whole(piece)
-        return out
-
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # the library cuts these out first
             return self._whole(text)
-        known, piece = self.pieces, self._piece
-        return b"".join([known.get(p) or piece(p) for p in self.split(text)])
+        parts = self.split(text)
+        try:
+            return b"".join(map(self.pieces.__getitem__, parts))
+        except KeyError:
+            known = self.pieces
+        missing = [p for p in dict.fromkeys(parts) if p not in known]
+        found = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False))}
+        if len(known) < PIECES:  # frequent pieces come early; when the table is full, later ones are encoded each time
+            known.update(found)
+        return b"".join([known.get(p) or found[p] for p in parts])
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, public_pattern: str) -> IdEncoder:
+    """The encoder of a Python worker, which outlives single tasks."""
+    return IdEncoder(path, public_pattern)
 
 
 def write_file(path: str, rows: Iterator[tuple[int | None, bytes, int]], dictionary: bytes, width: int) -> tuple[int, int]:
@@ -125,7 +136,7 @@ def train(docs: DataFrame, path: str, public_pattern: str, sample: int = SAMPLE,
     chosen = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = IdEncoder(path, public_pattern)
+        encoder = encoder_of(path, public_pattern)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([encoder.encode(t) for _, t in rows_of(batch)], pa.binary())], ["ids"])
 
@@ -146,7 +157,7 @@ def write(docs: DataFrame, path: str, public_pattern: str, end_id: int, out_dir:
     cuts = sorted(set(cuts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = IdEncoder(path, public_pattern)
+        encoder = encoder_of(path, public_pattern)
         end = np.array([end_id], encoder.kind).tobytes()
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         bounds = np.array(cuts, np.int64)
