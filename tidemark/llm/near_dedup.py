@@ -8,7 +8,7 @@ would. A pair of similarity s shares no table with probability at most 2 * (1 -
 Documents with equal shingle sets are first reduced to their smallest doc_id, so copies cost one narrow row
 each. In each table bucket every member is paired with the bucket's smallest member (a star, not all
 pairs). Pairs are verified on full shingle sets, the most promising one of each document first; those whose
-ends are already connected need no verification. Then, while a bucket still holds members of several
+ends are already connected need no verification. Then, where a bucket still holds members of several
 components, each member outside the first one's component is paired with the next smallest (``rounds``
 times), so that a document that isn't near the first member still meets others. Buckets are only ever
 aggregated or joined to one row per bucket; no group is gathered in a task.
@@ -30,11 +30,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordHashes, documents, materialize, mixed, rows_of, shingles
 
 COLLECTION, BLOCK = 8, 2
-PERCENT, SHINGLE, ROUNDS = 80, 4, 4
+PERCENT, SHINGLE = 80, 4
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(1, 1 << 63, 2 * COLLECTION * BLOCK, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -100,23 +101,20 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge. Edges: (a, b)."""
-    current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = None
+    current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node's smaller neighbours, and itself, are linked to the smallest of them
         under = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(under, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(under.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        current = materialize(small, name)
-        state = current.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.countDistinct("a")).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        small = large.join(under, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(under.select("a", F.col("m").alias("b")))
+        current = materialize(small.distinct(), name)
+        # done when every node has one link, to a node without any
+        links = current.select("a", F.lit(1).alias("n")).unionAll(current.select(F.col("b").alias("a")).distinct().select("a", F.lit(0).alias("n")))
+        if links.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1 or rows > n and n > 0").isEmpty():
+            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _labelled(ids: DataFrame, column: str, roots: DataFrame, out: str) -> DataFrame:
@@ -124,7 +122,7 @@ def _labelled(ids: DataFrame, column: str, roots: DataFrame, out: str) -> DataFr
     return ids.join(roots.select(F.col("node").alias(column), F.col("root").alias("_root")), column, "left").withColumn(out, F.coalesce("_root", column)).drop("_root")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS, stats: dict | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, stats: dict | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     docs = documents(docs)
     sketches = materialize(sketch(docs, k), "sketches")
@@ -135,42 +133,33 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     keys = ", ".join(f"xxhash64({i}, {j}, blocks[{i}], blocks[{COLLECTION + j}])" for i in range(COLLECTION) for j in range(COLLECTION))
     rows = reps.select("a", F.explode(F.expr(f"array({keys})")).alias("key"))
     shared = rows.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("key", "b")
-    members = materialize(rows.join(shared, "key").select("key", "a", "b"), "members")
+    # the large joins sort and merge at every size, so that their plan doesn't change as the data grow
+    members = materialize(rows.join(shared.hint("merge"), "key").select("key", "a", "b"), "members")
     # candidates: each member with its bucket's smallest
     stars = materialize(members.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "stars")
     involved = stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = materialize(docs.join(involved, "doc_id", "left_semi"), "texts")
-    best = stars.groupBy("a").agg(F.max(F.col("n") * (1 << 20) + F.pmod(F.xxhash64("b"), F.lit(1 << 20))).alias("x"))
-    first = stars.join(best, "a").where(F.col("n") * (1 << 20) + F.pmod(F.xxhash64("b"), F.lit(1 << 20)) == F.col("x")).select("a", "b")
+    texts = materialize(docs.join(involved.hint("merge"), "doc_id", "left_semi"), "texts")
+    rank = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("b"), F.lit(1 << 20))
+    best = stars.groupBy("a").agg(F.max(rank).alias("x"))
+    first = stars.join(best, "a").where(rank == F.col("x")).select("a", "b")
     links = materialize(verified(first, texts, k, percent), "links")
     roots = components(links)
-    tried = first
-    for step in range(rounds + 1):
-        if step == 0:
-            candidates = stars.select("a", "b")
-        else:
-            # buckets with several components: the next smallest outside the first one's component
-            own = _labelled(_labelled(members, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("key", "a")
-            centre = own.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("key", "b")
-            members = materialize(own.join(centre, "key").select("key", "a", "b"), "members")
-            candidates = members.where("a <> b").select("a", "b").distinct()
-        apart = _labelled(_labelled(candidates, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
-        todo = materialize(apart.join(tried, ["a", "b"], "left_anti"), "todo")
-        more = materialize(verified(todo, texts, k, percent), "links")
-        found = more.count()
-        if stats is not None:
-            stats[step] = (todo.count(), found)
-        if found:
-            links = links.unionAll(more)
-            roots = components(links)
-        elif step:
-            break
-        tried = tried.unionAll(todo)
+    # what is still apart: the other stars; and in buckets of several components, among the members outside the
+    # first one's, each with the smallest of these and with its neighbour in an order of its own in each bucket
+    own = materialize(_labelled(_labelled(members, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("key", "a", "ra"), "apart")
+    centre = own.groupBy("key").agg(F.min(F.struct("a", "ra")).alias("c"), F.max("a").alias("most")).where("c.a < most").select("key", F.col("c.a").alias("b"), F.col("c.ra").alias("rb"))
+    seconds = own.join(centre, "key").where("ra <> rb").select("a", "b")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "a"))
+    beside = own.select("a", "ra", F.lag("a").over(order).alias("b"), F.lag("ra").over(order).alias("rb")).where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    others = _labelled(_labelled(stars.select("a", "b"), "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
+    todo = others.unionAll(seconds).unionAll(beside).distinct().join(first, ["a", "b"], "left_anti")
+    more = materialize(verified(todo, texts, k, percent), "links")
+    roots = components(links.unionAll(more))
     # copies join their representative's component
     of_copies = _labelled(copies.select(F.col("a").alias("node"), F.col("b").alias("rep")), "rep", roots, "root").select("node", "root")
     every = roots.unionAll(of_copies).groupBy("node").agg(F.min("root").alias("component_id")).withColumnRenamed("node", "doc_id")
     if stats is not None:
-        stats |= {"reps": reps.count(), "members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "copies": copies.count()}
+        stats |= {"reps": reps.count(), "members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "apart": own.count(), "todo": todo.count(), "more": more.count(), "copies": copies.count()}
     joined = sketches.select("doc_id", "n_shingles").join(every, "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
