@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, documents, mixed, rows_of, shingles
 
 BITS = 19
-SAMPLE = 4000
+SAMPLE = 2500
 MIN_LABELS = 8
 #: What a word counts, however long its text is: a few words of one kind can settle a long text.
 WORD_VALUE = 0.25
@@ -112,7 +112,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     held = np.arange(len(rows)) % 5 == 4
     order = np.flatnonzero(~held)
     scale = log_odds([rows[i] for i in order], labels[order])
-    rows = [(places, values * scale[places]) for places, values in rows]
     weights, squares, bias, bias_squares = np.zeros(1 << BITS, np.float32), np.ones(1 << BITS, np.float32), 0.0, 1.0
     rng = np.random.default_rng(7)
     share = labels[order].mean()
@@ -121,6 +120,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
         rng.shuffle(order)
         for i in order:
             places, values = rows[i]
+            values = values * scale[places]
             p = 1 / (1 + np.exp(-np.clip(weights[places] @ values + bias, -30, 30)))
             slope = float(balance[i] * (p - labels[i]))
             g = slope * values
@@ -128,6 +128,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
             weights[places] -= rate * g / np.sqrt(squares[places])
             bias_squares += slope * slope
             bias -= rate * slope / np.sqrt(bias_squares)
+    weights *= scale  # for values as features() gives them
     model = Logistic(weights, float(bias))
     margins = np.array([weights[p] @ v + bias for p, v in (rows[i] for i in np.flatnonzero(held))], float)
     target, a, b = labels[held].astype(float), 1.0, 0.0
@@ -142,7 +143,6 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
         if np.abs(step).max() < 1e-8:
             break
     model.slope, model.shift = float(a), float(b)
-    model.weights = weights * scale  # for values as features() gives them
     return model
 
 
@@ -161,9 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Log
                 a, b, c, d, e = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.binary()), pa.array(e, pa.binary())], ["doc_id", "quality", "toxic", "places", "values"])
 
-    got = sorted(labelled.mapInArrow(run, "doc_id long, quality int, toxic int, places binary, values binary").collect(), key=lambda r: (mixed(np.uint64([r.doc_id & (1 << 64) - 1]))[0], bytes(r.places)))
-    rows = [(np.frombuffer(r.places, np.uint32), np.frombuffer(r["values"], np.float32)) for r in got]
-    return tuple(fit(rows, np.array([r[k] for r in got], int)) for k in ("quality", "toxic"))
+    got = labelled.mapInArrow(run, "doc_id long, quality int, toxic int, places binary, values binary").toArrow()
+    order = np.lexsort((got["doc_id"].to_numpy(), mixed(got["doc_id"].to_numpy().view(np.uint64)))) if got.num_rows else []
+    # views of Arrow's buffers: nothing is copied on the driver
+    places, values = (pa.concat_arrays(got[k].chunks) if got.num_rows else [] for k in ("places", "values"))
+    rows = [(np.frombuffer(places[i].as_buffer(), np.uint32), np.frombuffer(values[i].as_buffer(), np.float32)) for i in order]
+    return tuple(fit(rows, got[k].to_numpy()[order].astype(int) if len(rows) else np.zeros(0, int)) for k in ("quality", "toxic"))
 
 
 class Judge:
