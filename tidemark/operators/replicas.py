@@ -14,12 +14,12 @@ def leaves(df: DataFrame, id: Column, content: Column) -> DataFrame:
     return df.select(id.alias("id"), F.sha2(content, 256).alias("hash"))
 
 
-def root(leaf_table: DataFrame, bits: int = 12) -> DataFrame:
+def root(leaf_table: DataFrame) -> DataFrame:
     """The Merkle root: subtrees per id range are hashed in parallel, their roots level by level.
 
     A level halves the table by one aggregation on index div 2, so no task holds more than its share.
     """
-    numbered = leaf_table.withColumn("at", F.row_number().over(Window.orderBy("id")) - 1) if bits == 0 else _numbered(leaf_table)
+    numbered = _numbered(leaf_table)
     n = numbered.count()
     width = 1 << max(0, (n - 1).bit_length())
     level, empty = numbered.select("at", "hash"), hashlib.sha256(b"").hexdigest()
