@@ -52,16 +52,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; forgets all at ``limit`` words so that memory stays bounded."""
+    """Word to 64-bit hash. The first ``limit`` words are kept, which has the frequent ones; others are hashed each time."""
 
-    def __init__(self, limit: int = 400_000, seed: int = 0):
+    def __init__(self, limit: int = 200_000, seed: int = 0):
         super().__init__()
         self.limit, self.seed = limit, seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word, self.seed)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(self) < self.limit:
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
