@@ -27,7 +27,8 @@ def decrypted(line: Column, key_hex: str | None) -> Column:
 
 
 def encrypted(line: Column, key_hex: str) -> Column:
-    return F.concat(F.lit(MARK), F.base64(F.aes_encrypt(line, F.unhex(F.lit(key_hex)), F.lit("GCM"))))
+    text = F.base64(F.aes_encrypt(line, F.unhex(F.lit(key_hex)), F.lit("GCM")))
+    return F.concat(F.lit(MARK), F.translate(text, "\r\n", ""))  # base64 breaks long lines
 
 
 def _document(v: Column) -> list[Column]:
