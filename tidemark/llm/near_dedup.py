@@ -7,11 +7,13 @@ would. A pair of similarity s shares no table with probability at most 2 * (1 -
 
 Documents with equal shingle sets are first reduced to their smallest doc_id, so copies cost one narrow row
 each. In each table bucket every member is paired with the bucket's smallest member (a star, not all
-pairs). Pairs are verified on full shingle sets, the most promising one of each document first; those whose
-ends are already connected need no verification. Then, where a bucket still holds members of several
-components, each member outside the first one's component is paired with the next smallest (``rounds``
-times), so that a document that isn't near the first member still meets others. Buckets are only ever
-aggregated or joined to one row per bucket; no group is gathered in a task.
+pairs), and each document's most promising pair is verified on full shingle sets. That joins most of what
+belongs together. Documents in buckets that still hold several components go through an exact search: sets
+of similarity s share one of their n - ceil(s * n) + 1 rarest shingles (rarity among these documents, ties
+by hash), so documents meet by those, in order of set size, with ever farther neighbours (``REACH``, then
+eight times as far each round) until a shingle's documents are all in one component or have all met. No
+link between documents that share a bucket with another component is lost, and no group is gathered in a
+task; a round only pairs documents of different components, of sizes and places of the shingle that allow a link.
 
 Components are the smallest doc_id reachable, by alternating large-star and small-star steps on the verified
 pairs, with every step's pairs written to the shared folder.
@@ -36,6 +38,8 @@ from .common import WordHashes, documents, materialize, mixed, rows_of, shingles
 
 COLLECTION, BLOCK = 8, 2
 PERCENT, SHINGLE = 80, 4
+#: How many neighbours a document meets by one shingle in the first exact round.
+REACH = 64
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(1, 1 << 63, 2 * COLLECTION * BLOCK, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -122,6 +126,33 @@ def _labelled(ids: DataFrame, column: str, roots: DataFrame, out: str) -> DataFr
     return ids.join(roots.select(F.col("node").alias(column), F.col("root").alias("_root")), column, "left").withColumn(out, F.coalesce("_root", column)).drop("_root")
 
 
+def rarest(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """h, a, n, common, place, size: each set's rarest shingles, at least one of which a similar set has among its own.
+
+    Shingles of one document alone are counted and left out. ``common``: how many of the set's shingles are no
+    rarer than h; ``place``: the row's among the ``size`` rows of h.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for doc_id, text in rows_of(batch):
+                own = shingle_set(text, hashes, k)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at : at + (1 << 16)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(own.tobytes()) >> 1], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([part], pa.list_(pa.int64()))], ["a", "own", "n", "h"])
+
+    tokens = texts.mapInArrow(run, "a long, own long, n long, h array<long>").withColumn("h", F.explode("h"))
+    counts = tokens.groupBy("h").agg(F.count("*").alias("docs")).where("docs > 1")
+    # counted from the most frequent one, so that those left out need not be there
+    common = F.row_number().over(Window.partitionBy("a", "own").orderBy(F.desc("docs"), F.desc("h")))
+    shared = tokens.join(counts.hint("merge"), "h").withColumn("common", common)
+    few = shared.where(f"common >= n - (n - ({percent} * n + 99) div 100)").select("h", "a", "n", "common").distinct()
+    order = Window.partitionBy("h").orderBy("n", "a")
+    sizes = few.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    return few.join(sizes.hint("merge"), "h").withColumn("place", F.row_number().over(order))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, stats: dict | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     docs = documents(docs)
@@ -138,28 +169,41 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
     # candidates: each member with its bucket's smallest
     stars = materialize(members.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "stars")
     involved = stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "doc_id")
-    texts = materialize(docs.join(involved.hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = materialize(docs.join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     rank = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("b"), F.lit(1 << 20))
     best = stars.groupBy("a").agg(F.max(rank).alias("x"))
     first = stars.join(best, "a").where(rank == F.col("x")).select("a", "b")
     links = materialize(verified(first, texts, k, percent), "links")
     roots = components(links)
-    # what is still apart: the other stars; and in buckets of several components, among the members outside the
-    # first one's, each with the smallest of these and with its neighbour in an order of its own in each bucket
-    own = materialize(_labelled(_labelled(members, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("key", "a", "ra"), "apart")
-    centre = own.groupBy("key").agg(F.min(F.struct("a", "ra")).alias("c"), F.max("a").alias("most")).where("c.a < most").select("key", F.col("c.a").alias("b"), F.col("c.ra").alias("rb"))
-    seconds = own.join(centre, "key").where("ra <> rb").select("a", "b")
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "a"))
-    beside = own.select("a", "ra", F.lag("a").over(order).alias("b"), F.lag("ra").over(order).alias("rb")).where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    others = _labelled(_labelled(stars.select("a", "b"), "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
-    todo = others.unionAll(seconds).unionAll(beside).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(verified(todo, texts, k, percent), "links")
-    roots = components(links.unionAll(more))
+    # documents of buckets with several components
+    own = _labelled(members.select("key", "a"), "a", roots, "ra")
+    several = own.groupBy("key").agg(F.min("ra").alias("least"), F.max("ra").alias("most")).where("least < most").select("key")
+    apart = own.join(several.hint("merge"), "key").select(F.col("a").alias("doc_id")).distinct()
+    few = materialize(rarest(texts.join(apart.hint("merge"), "doc_id", "left_semi"), k, percent), "rarest")
+    tested, low, high, rounds = first, 0, REACH, []
+    while True:
+        # groups of several components whose documents have not all met
+        own = _labelled(few.where(F.col("size") > low + 1), "a", roots, "ra")
+        open_ = own.groupBy("h").agg(F.min("ra").alias("least"), F.max("ra").alias("most")).where("least < most").select("h")
+        own = materialize(own.join(open_.hint("merge"), "h"), "apart")
+        if own.isEmpty():
+            break
+        ahead = own.where(F.col("place") + low < F.col("size")).select("h", F.explode(F.expr(f"sequence(place + {low + 1}, least(place + {high}, size))")).alias("place"), F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("ra").alias("rx"))
+        # by the rarest shingle that two similar sets share, at most the smaller ``common`` can be shared
+        fitting = f"ra <> rx and 100 * nx >= {percent} * n and {100 + percent} * least(cx, common) >= {percent} * (nx + n)"
+        met = ahead.join(own.select("h", "place", "a", "n", "common", "ra").hint("merge"), ["h", "place"]).where(fitting)
+        todo = materialize(met.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "todo")
+        more = materialize(verified(todo, texts, k, percent), "links")
+        rounds.append((low, high, todo, more))
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            roots = components(links)
+        tested, low, high = tested.unionAll(todo), high, 8 * high
     # copies join their representative's component
     of_copies = _labelled(copies.select(F.col("a").alias("node"), F.col("b").alias("rep")), "rep", roots, "root").select("node", "root")
     every = roots.unionAll(of_copies).groupBy("node").agg(F.min("root").alias("component_id")).withColumnRenamed("node", "doc_id")
     if stats is not None:
-        stats |= {"reps": reps.count(), "members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "apart": own.count(), "todo": todo.count(), "more": more.count(), "copies": copies.count()}
+        stats |= {"reps": reps.count(), "members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "apart": apart.count(), "rarest": few.count(), "rounds": [(a, b, c.count(), d.count()) for a, b, c, d in rounds], "copies": copies.count()}
     joined = sketches.select("doc_id", "n_shingles").join(every, "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
