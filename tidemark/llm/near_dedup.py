@@ -127,10 +127,10 @@ def _labelled(ids: DataFrame, column: str, roots: DataFrame, out: str) -> DataFr
 
 
 def rarest(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """h, a, n, common, place, size: each set's rarest shingles, at least one of which a similar set has among its own.
+    """h, a, n, common, place, low, high: each set's rarest shingles, one of which at least a similar set shares.
 
     Shingles of one document alone are counted and left out. ``common``: how many of the set's shingles are no
-    rarer than h; ``place``: the row's among the ``size`` rows of h.
+    rarer than h; the set can only be similar to those of h at ``place`` low + 1 to high, or sees them from their side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +147,17 @@ def rarest(texts: DataFrame, k: int, percent: int) -> DataFrame:
     # counted from the most frequent one, so that those left out need not be there
     common = F.row_number().over(Window.partitionBy("a", "own").orderBy(F.desc("docs"), F.desc("h")))
     shared = tokens.join(counts.hint("merge"), "h").withColumn("common", common)
-    few = shared.where(f"common >= n - (n - ({percent} * n + 99) div 100)").select("h", "a", "n", "common").distinct()
-    order = Window.partitionBy("h").orderBy("n", "a")
-    sizes = few.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    return few.join(sizes.hint("merge"), "h").withColumn("place", F.row_number().over(order))
+    few = shared.where(f"common >= ({percent} * n + 99) div 100").select("h", "a", "n", "common").distinct()
+    # a set meets those that aren't larger and whose sizes its own size and ``common`` allow; of these, only rows
+    # that can have a partner of their size are numbered (others have none that isn't smaller)
+    most = f"({100 + percent} * common) div {percent} - n"
+    events = few.select("h", "a", "n", "common", F.explode(F.expr(f"""filter(array(
+        named_struct('v', ({percent} * n + 99) div 100, 'kind', 0), named_struct('v', n, 'kind', if({most} >= n, 1, 2)), named_struct('v', {most}, 'kind', 2)
+    ), (x, i) -> i < 2 and (x.kind < 2) or i = 2 and {most} < n)""")).alias("e"))
+    order = Window.partitionBy("h").orderBy("e.v", "e.kind", "a", "common").rowsBetween(Window.unboundedPreceding, 0)
+    at = events.withColumn("at", F.sum(F.expr("if(e.kind = 1, 1, 0)")).over(order))
+    placed = at.groupBy("h", "a", "n", "common").agg(*(F.max(F.expr(f"if(e.kind = {i}, at, null)")).alias(x) for i, x in enumerate(("low", "place", "high"))))
+    return placed.select("h", "a", "n", "common", "place", "low", F.coalesce("high", F.col("place") - 1).alias("high"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, stats: dict | None = None) -> DataFrame:
@@ -183,15 +190,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
     tested, low, high, rounds = first, 0, REACH, []
     while True:
         # groups of several components whose documents have not all met
-        own = _labelled(few.where(F.col("size") > low + 1), "a", roots, "ra")
-        open_ = own.groupBy("h").agg(F.min("ra").alias("least"), F.max("ra").alias("most")).where("least < most").select("h")
+        own = _labelled(few, "a", roots, "ra")
+        open_ = own.groupBy("h").agg(F.min("ra").alias("least"), F.max("ra").alias("most"), F.max(F.expr("high - low")).alias("reach")).where(f"least < most and reach > {low}").select("h")
         own = materialize(own.join(open_.hint("merge"), "h"), "apart")
         if own.isEmpty():
             break
-        ahead = own.where(F.col("place") + low < F.col("size")).select("h", F.explode(F.expr(f"sequence(place + {low + 1}, least(place + {high}, size))")).alias("place"), F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("ra").alias("rx"))
+        ahead = own.where(f"high - low > {low}").select("h", F.explode(F.expr(f"sequence(low + {low + 1}, least(low + {high}, high))")).alias("place"), F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("ra").alias("rx"))
         # by the rarest shingle that two similar sets share, at most the smaller ``common`` can be shared
-        fitting = f"ra <> rx and 100 * nx >= {percent} * n and {100 + percent} * least(cx, common) >= {percent} * (nx + n)"
-        met = ahead.join(own.select("h", "place", "a", "n", "common", "ra").hint("merge"), ["h", "place"]).where(fitting)
+        fitting = f"ra <> rx and 100 * n >= {percent} * nx and {100 + percent} * least(cx, common) >= {percent} * (nx + n)"
+        met = ahead.join(own.where("place is not null").select("h", "place", "a", "n", "common", "ra").hint("merge"), ["h", "place"]).where(fitting)
         todo = materialize(met.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "todo")
         more = materialize(verified(todo, texts, k, percent), "links")
         rounds.append((low, high, todo, more))
