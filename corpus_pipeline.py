@@ -46,7 +46,7 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: The quality model is trained, which SQL can't express; tests compare with a brute-force version.
+#: The quality model is trained, which SQL can't express. A brute-force comparison of the whole chain is still to be written.
 ORACLE_SQL = None
 
 
