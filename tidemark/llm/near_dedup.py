@@ -127,10 +127,9 @@ def _labelled(ids: DataFrame, column: str, roots: DataFrame, out: str) -> DataFr
 
 
 def rarest(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """h, a, n, common, place, low, high: each set's rarest shingles, one of which at least a similar set shares.
+    """h, a, n, common: each set's rarest shingles, one of which at least a similar set shares.
 
-    Shingles of one document alone are counted and left out. ``common``: how many of the set's shingles are no
-    rarer than h; the set can only be similar to those of h at ``place`` low + 1 to high, or sees them from their side.
+    Shingles of one document alone are counted and left out. ``common``: how many of the set's shingles are no rarer than h.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +146,31 @@ def rarest(texts: DataFrame, k: int, percent: int) -> DataFrame:
     # counted from the most frequent one, so that those left out need not be there
     common = F.row_number().over(Window.partitionBy("a", "own").orderBy(F.desc("docs"), F.desc("h")))
     shared = tokens.join(counts.hint("merge"), "h").withColumn("common", common)
-    few = shared.where(f"common >= ({percent} * n + 99) div 100").select("h", "a", "n", "common").distinct()
-    # a set meets those that aren't larger and whose sizes its own size and ``common`` allow; of these, only rows
-    # that can have a partner of their size are numbered (others have none that isn't smaller)
+    return shared.where(f"common >= ({percent} * n + 99) div 100").select("h", "a", "n", "common").distinct()
+
+
+def placed(few: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """h, a, n, common, main, place, reach: where the sets of a shingle are found, and which places each set has to look at.
+
+    Only shingles of several components are kept. Sets of the shingle's largest component (``main``) are numbered apart
+    from the others, by size, and don't look at each other. ``reach``: (main, low, high) of the places low + 1 to high
+    whose sizes the set's own size and ``common`` allow; those sets aren't larger, larger ones look from their side.
+    """
+    own = _labelled(few, "a", roots, "ra")
+    shares = own.groupBy("h", "ra").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "ra")).alias("most"), F.count("*").alias("parts"))
+    several = own.join(shares.where("parts > 1").select("h", F.col("most.ra").alias("largest")).hint("merge"), "h").withColumn("main", F.col("ra") == F.col("largest"))
+    # only rows that can have a partner of their size are numbered (others have none that isn't smaller)
     most = f"({100 + percent} * common) div {percent} - n"
-    events = few.select("h", "a", "n", "common", F.explode(F.expr(f"""filter(array(
+    events = several.select("h", "a", "n", "common", "main", F.explode(F.expr(f"""filter(array(
         named_struct('v', ({percent} * n + 99) div 100, 'kind', 0), named_struct('v', n, 'kind', if({most} >= n, 1, 2)), named_struct('v', {most}, 'kind', 2)
     ), (x, i) -> i < 2 and (x.kind < 2) or i = 2 and {most} < n)""")).alias("e"))
     order = Window.partitionBy("h").orderBy("e.v", "e.kind", "a", "common").rowsBetween(Window.unboundedPreceding, 0)
-    at = events.withColumn("at", F.sum(F.expr("if(e.kind = 1, 1, 0)")).over(order))
-    placed = at.groupBy("h", "a", "n", "common").agg(*(F.max(F.expr(f"if(e.kind = {i}, at, null)")).alias(x) for i, x in enumerate(("low", "place", "high"))))
-    return placed.select("h", "a", "n", "common", "place", "low", F.coalesce("high", F.col("place") - 1).alias("high"))
+    at = events.select("*", *(F.sum(F.expr(f"if(e.kind = 1 and {x}, 1, 0)")).over(order).alias(y) for x, y in (("main", "at_main"), ("not main", "at_rest"))))
+    ends = [F.max(F.expr(f"if(e.kind {kind}, {x}, null)")).alias(f"{end}_{x}") for x in ("at_main", "at_rest") for kind, end in (("= 0", "low"), ("> 0", "high"))]
+    ended = at.groupBy("h", "a", "n", "common", "main").agg(F.max(F.expr("if(e.kind = 1, if(main, at_main, at_rest), null)")).alias("place"), *ends)
+    rest = "named_struct('main', false, 'low', low_at_rest, 'high', high_at_rest - if(main or place is null, 0, 1))"
+    reach = F.expr(f"if(main, array({rest}), array(named_struct('main', true, 'low', low_at_main, 'high', high_at_main), {rest}))")
+    return ended.select("h", "a", "n", "common", "main", "place", reach.alias("reach"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, stats: dict | None = None) -> DataFrame:
@@ -187,18 +200,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
     several = own.groupBy("key").agg(F.min("ra").alias("least"), F.max("ra").alias("most")).where("least < most").select("key")
     apart = own.join(several.hint("merge"), "key").select(F.col("a").alias("doc_id")).distinct()
     few = materialize(rarest(texts.join(apart.hint("merge"), "doc_id", "left_semi"), k, percent), "rarest")
+    at = materialize(placed(few, roots, percent), "placed")
     tested, low, high, rounds = first, 0, REACH, []
     while True:
         # groups of several components whose documents have not all met
-        own = _labelled(few, "a", roots, "ra")
-        open_ = own.groupBy("h").agg(F.min("ra").alias("least"), F.max("ra").alias("most"), F.max(F.expr("high - low")).alias("reach")).where(f"least < most and reach > {low}").select("h")
+        own = _labelled(at, "a", roots, "ra")
+        ahead = "array_max(transform(reach, x -> x.high - x.low))"
+        open_ = own.groupBy("h").agg(F.min("ra").alias("least"), F.max("ra").alias("most"), F.max(F.expr(ahead)).alias("ahead")).where(f"least < most and ahead > {low}").select("h")
         own = materialize(own.join(open_.hint("merge"), "h"), "apart")
         if own.isEmpty():
             break
-        ahead = own.where(f"high - low > {low}").select("h", F.explode(F.expr(f"sequence(low + {low + 1}, least(low + {high}, high))")).alias("place"), F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("ra").alias("rx"))
+        looks = own.select("h", F.explode("reach").alias("r"), F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("ra").alias("rx")).where(f"r.high - r.low > {low}")
+        ahead = looks.select("h", "r.main", F.explode(F.expr(f"sequence(r.low + {low + 1}, least(r.low + {high}, r.high))")).alias("place"), "x", "nx", "cx", "rx")
         # by the rarest shingle that two similar sets share, at most the smaller ``common`` can be shared
         fitting = f"ra <> rx and 100 * n >= {percent} * nx and {100 + percent} * least(cx, common) >= {percent} * (nx + n)"
-        met = ahead.join(own.where("place is not null").select("h", "place", "a", "n", "common", "ra").hint("merge"), ["h", "place"]).where(fitting)
+        met = ahead.join(own.where("place is not null").select("h", "main", "place", "a", "n", "common", "ra").hint("merge"), ["h", "main", "place"]).where(fitting)
         todo = materialize(met.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "todo")
         more = materialize(verified(todo, texts, k, percent), "links")
         rounds.append((low, high, todo, more))
@@ -210,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
     of_copies = _labelled(copies.select(F.col("a").alias("node"), F.col("b").alias("rep")), "rep", roots, "root").select("node", "root")
     every = roots.unionAll(of_copies).groupBy("node").agg(F.min("root").alias("component_id")).withColumnRenamed("node", "doc_id")
     if stats is not None:
-        stats |= {"reps": reps.count(), "members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "apart": apart.count(), "rarest": few.count(), "rounds": [(a, b, c.count(), d.count()) for a, b, c, d in rounds], "copies": copies.count()}
+        stats |= {"reps": reps.count(), "members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "apart": apart.count(), "rarest": few.count(), "placed": at.count(), "rounds": [(a, b, c.count(), d.count()) for a, b, c, d in rounds], "copies": copies.count()}
     joined = sketches.select("doc_id", "n_shingles").join(every, "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
