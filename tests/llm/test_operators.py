@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -298,3 +299,78 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert 0 < docs.count() <= before
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def entropy_spans(text):
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        x = m[0]
+        if any(re.search(p, x) for p in secrets.ALLOWED):
+            continue
+        limit = secrets.LIMITS["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x) else "base36" if re.fullmatch("[0-9a-z]+", x) else "base64"]
+        held = []
+        for i in range(len(x) - secrets.WINDOW + 1):
+            counts = Counter(x[i : i + secrets.WINDOW]).values()
+            if -sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in counts) >= limit:
+                if held and held[-1][1] >= i:
+                    held[-1][1] = i + secrets.WINDOW
+                else:
+                    held.append([i, i + secrets.WINDOW])
+        yield from ((m.start() + a, m.start() + b) for a, b in held)
+
+
+def masked(text):
+    base = [m.span() for _, p, ok in PATTERNS for m in re.finditer(p, text) if ok(m)]
+    spans, out, at = sorted(base + [(a, b) for a, b in entropy_spans(text) if not any(x <= a and b <= y for x, y in base)]), "", 0
+    for a, b in spans:
+        if b > at:
+            out, at = out + (text[at:a] + "[SECRET]" if a >= at else ""), b
+    return out + text[at:]
+
+
+def leaks(text, index):
+    """Every item scored against every passage."""
+    words, size = re.findall(r"\w+", text.lower()), index.length
+    for p in range(0, max(1, len(words) - size), size):
+        passage, scores = words[p : p + 2 * size], Counter()
+        for t in set(passage) & set(index.terms):
+            for item, x in index.postings[index.terms[t]]:
+                scores[item] += x
+        if any(s >= decontaminate.LIMIT and all(decontaminate.overlap(part, passage) >= decontaminate.VERIFY for part in index.parts[item]) for item, s in scores.items()):
+            return True
+    return False
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The whole chain; the trained model's verdicts come from the operator, all else is computed here."""
+    import tiktoken
+
+    sf, own = "/root/testdata/sf0.001", f"file://{tmp_path}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [(r[0], f"{r[1]} token=Zx81kQp0" if r[0] % 3 == 0 else r[1], *r[2:]) for r in docs.collect()]
+    plain = max((r for r in rows if r[1] and 200 <= len(r[1].split()) <= 400), key=lambda r: r[0])
+    rows += [(10**6, None, "en", "x", 0), (10**6 + 1, "", "en", "x", 0), (10**6 + 2, f"{plain[1]} {items[0][1]}", "en", "x", 0), rows[0], (10**6 + 3, " ".join(r[1] for r in rows[:40] if r[1]), "en", "x", 0)]
+    spark.createDataFrame(rows, docs.schema).repartition(3).write.parquet(f"{own}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{own}/{name}.parquet")
+
+    left, verdicts = [(r[0], r[1]) for r in rows], {}
+    for r in quality.score(spark.read.parquet(f"{own}/documents.parquet"), spark.read.parquet(f"{own}/labels.parquet")).collect():
+        text = next(t for k, t in left if k == r.doc_id)
+        n, *_, again = base_of(text)
+        assert r.base_failed == (n < 50 or 100 * again > 50 * n) and not (r.base_failed and r.kept)
+        verdicts[r.doc_id] = r.kept
+    sizes = [len(left)]
+    left = [(k, t) for k, t in left if verdicts[k]]
+    sizes.append(len(left))
+    group = components_of({k: t for k, t in left}.items(), 5)
+    left = [(k, t) for k, t in left if group[k][1] == k]
+    sizes.append(len(left))
+    index = decontaminate.Index([x for x in items if x[1]])
+    left = [(k, t) for k, t in left if not leaks(t, index)]
+    sizes.append(len(left))
+    clean = [(k, masked(t)) for k, t in left]
+    assert sizes == sorted(sizes, reverse=True) and len({*sizes}) == 4 and clean != left  # each stage has something to do
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(registry.RANKS)), special_tokens={})
+    want = sorted((k, len(ids := library.encode_ordinary(t)), sha(",".join(map(str, ids))), sha(t), len(t)) for k, t in clean)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, r.n_chars) for r in corpus_pipeline.run(spark, own).collect()) == want
