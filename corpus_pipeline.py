@@ -46,7 +46,7 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: The quality model is trained, which SQL can't express. A brute-force comparison of the whole chain is still to be written.
+#: The quality model is trained, which SQL can't express; a test computes the whole chain by brute force instead.
 ORACLE_SQL = None
 
 
