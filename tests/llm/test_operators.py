@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -231,6 +232,53 @@ def test_every_license_template_is_found(spark):
     assert {(i, name) for i, _, name in rows} <= got
 
 
+def test_licenses_over_paragraphs_and_inside_lines(spark):
+    mit, isc = licenses.TEMPLATES["MIT"][3], licenses.TEMPLATES["ISC"][0]
+    at = mit.index("The above"), mit.index("THE SOFTWARE IS")
+    published = f"MIT License\n\nCopyright (c) 2020 Some One\n\n{mit[: at[0]]}\n\n{mit[at[0] : at[1]]}\n\n{mit[at[1] :]}"
+    wrapped = textwrap.wrap(mit, 60)
+    texts = [
+        f"{prose(200, 1)}\n\n{published}\n\n{prose(300, 2)}",
+        "int x;\n" + "".join(f"# {x}\n#\n" for x in wrapped) + prose(400, 3),
+        f"{prose(90, 4)} released under the MIT License. {prose(90, 5)}",
+        f"{prose(90, 6)} {published} {prose(90, 7)} {isc} {prose(9, 8)}",
+        f"{prose(90, 9)} This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. {prose(9, 10)}",
+        f"{prose(90, 11)} {mit[: at[0]]} {prose(90, 12)}",
+    ]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")).collect()}
+    assert got == {(0, "MIT"): 1.0, (1, "MIT"): 1.0, (2, "MIT"): 1.0, (3, "MIT"): 1.0, (3, "ISC"): 1.0, (4, "CC-BY-NC-4.0"): 1.0}
+
+
+def test_license_windows_against_brute_force(spark):
+    ratio, r, texts = licenses.LIMIT / (2 - licenses.LIMIT), random.Random(8), []
+    short = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if len(t) < 600]
+    for _ in range(60):
+        words = r.choice(short)[1].split()
+        for _ in range(r.randint(0, 1 + len(words) // 7)):
+            words[r.randrange(len(words))] = r.choice(["the", "license", "work", "x"])
+        texts.append(f"{prose(r.randint(0, 9), 1)} {' '.join(words)} {prose(r.randint(0, 9), 2)} {' '.join(r.choice(short)[1].split()[: r.randint(0, 9)])}")
+    got = {(x.doc_id, x.license): x.dice for x in licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        words, best = re.findall("[a-z0-9]+", text.lower()), {}
+        pairs = [*zip(words, words[1:])]
+        for name, t in short:
+            own = re.findall("[a-z0-9]+", t.lower())
+            own, n = {*zip(own, own[1:])}, len(own) - 1
+            for size in {*licenses.lengths(n, ratio), len(pairs)}:
+                for i in range(len(pairs) - size + 1):
+                    unit = {*pairs[i : i + size]}
+                    best[name] = max(best.get(name, 0), round(2 * len(unit & own) / (len(unit) + len(own)), 6))
+        name = min(best, key=lambda x: (-best[x], x))
+        assert got.get((k, name)) == (best[name] if best[name] >= licenses.LIMIT else None)
+
+
+def test_triggers_are_in_every_similar_unit():
+    sets = [licenses.bigrams(t) for ts in licenses.TEMPLATES.values() for t in ts]
+    ratio = licenses.LIMIT / (2 - licenses.LIMIT)
+    words = {*licenses.triggers(sets, ratio)}
+    assert all(sum(not words & {*g.split()} for g in grams) < ratio * len(grams) for grams in sets)
+
+
 PATTERNS = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]
 
 

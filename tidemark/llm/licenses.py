@@ -1,20 +1,35 @@
 """Licence scan (native): Dice coefficient over word bigrams against licence templates.
 
-A unit is a line, a paragraph (lines between blank lines) or the whole text. Units are normalised (lower
-case, runs of other than letters and digits become one space, copyright lines go), and their distinct word
-bigrams are compared with each template's: ``2 * common / (a + b)``. As ``common`` is at most the smaller
-size, a template can only reach the limit ``t`` if its size lies in ``[a * t / (2 - t), a * (2 - t) / t]``;
-all other templates are pruned by size before any bigram is made.
+A unit is a line, a paragraph (lines between blank lines), the whole text or a window: a run of words
+anywhere in the text, over lines and paragraphs. Units are normalised (lower case, runs of other than
+letters and digits become one space, copyright lines go), and their distinct word bigrams are compared with
+each template's: ``2 * common / (a + b)``. As ``common`` is at most the smaller size, a template can only
+reach the limit ``t`` if its size lies in ``[a * t / (2 - t), a * (2 - t) / t]``; all other templates are
+pruned by size before any bigram is made.
+
+A unit must also hold ``t / (2 - t)`` of the template's bigrams. So a text without any of ``triggers`` (words that
+are in more than the remaining share of each template's bigrams) has no match, and a text's windows are only
+tried for templates of which the text as a whole holds that share.
+
+Windows have STEPS lengths a template, its own among them, from the smallest to the largest similar one; all
+lengths if it is short. Every window of such a length is scored: a position counts for the starts since the
+same bigram's last occurrence, so the distinct bigrams of all windows follow from one sorted pass. Of
+windows that overlap the closest counts, and of different licences' too (ties: the first name).
 
 Defined results: null and empty texts match nothing; texts of any length are scanned whole; a unit
 counts for its closest licence (ties: the first name); of a document's units with the same licence the
-best is reported (ties: the smallest kind of unit, then the first), so repeated rows change nothing;
-other columns are ignored.
+best is reported (ties: the smallest kind of unit, then the first), so repeated rows change nothing; a
+window's number is that of its first word, from 0; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,37 +84,106 @@ TEMPLATES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
 LIMIT = 0.8
-UNITS = ["line", "paragraph", "text"]
+UNITS = ["line", "paragraph", "text", "window"]
+#: Lengths of windows tried for a template.
+STEPS = 13
+#: Words too common to tell a licence; ``triggers`` takes them only where nothing else does.
+COMMON = {*"a all and any are be by can copy for from http in including is may not of on or other provided see source that the this to under without with work you".split()}
 #: Whole lines that name a holder and not a licence. Fixed value.
 HOLDER = r"(?im)^[^a-z0-9\n]*(?:copyright\b|\(c\)\x20|\xA9)[^\n]*$"
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", re.sub(HOLDER, " ", text).lower())
+
+
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of normalised text, in order."""
-    words = re.findall(r"[a-z0-9]+", re.sub(HOLDER, " ", text).lower())
+    words = _words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
-def _template_sql() -> list[tuple[str, int, str]]:
-    """Name, size and SQL array of each template."""
+def _set_sql(grams: Iterable[str]) -> str:
+    """SQL for an array that is folded to one literal."""
+    return "split('" + "|".join(grams) + "', '[|]')"
+
+
+def _template_sql() -> list[tuple[str, int, str, list[str]]]:
+    """Name, size, SQL array and bigrams of each template."""
     out = []
     for name, texts in TEMPLATES.items():
         for text in texts:
             grams = bigrams(text)
-            out.append((name, len(grams), "array(" + ", ".join(f"'{g}'" for g in grams) + ")"))
+            out.append((name, len(grams), _set_sql(grams), grams))
+    return out
+
+
+def triggers(sets: list[list[str]], ratio: float) -> list[str]:
+    """A few words of which any unit with a share of ``ratio`` of a set's bigrams has one."""
+    needed = [len(grams) - ratio * len(grams) + 1e-9 for grams in sets]
+    left, out = [set(grams) for grams in sets], []
+    while any(len(grams) - len(rest) <= need for grams, rest, need in zip(sets, left, needed)):
+        gain: Counter = Counter()
+        for grams, rest, need in zip(sets, left, needed):
+            if len(grams) - len(rest) <= need:
+                gain.update({w: n / len(grams) for w, n in Counter(w for g in rest for w in {*g.split()}).items()})
+        out.append(max(gain, key=lambda w: (w not in COMMON and len(w) > 1, gain[w] * len(w), w)))
+        left = [{g for g in rest if out[-1] not in g.split()} for rest in left]
     return out
 
 
+def lengths(size: int, ratio: float) -> list[int]:
+    """Numbers of bigrams of the windows tried for a template with ``size`` bigram positions."""
+    low, high = math.ceil(size * ratio - 1e-9), math.floor(size / ratio + 1e-9)
+    grid = {round(low * (high / low) ** (k / (STEPS - 1))) for k in range(STEPS)}
+    return sorted(grid | {size}) if high - low >= STEPS else list(range(low, high + 1))
+
+
+def _windows(limit: float, ratio: float) -> str:
+    """SQL for an array of (d, s, e, license): the closest windows of the bigrams ``b``, of which ``k`` are the known ones."""
+    rows = [(name, bigrams(text), len(_words(text)) - 1) for name, texts in TEMPLATES.items() for text in texts]
+    sizes = f"array({', '.join(str(len(g)) for _, g, _ in rows)})"
+    sets = f"array({', '.join(_set_sql(g) for _, g, _ in rows)})"
+    names = f"array({', '.join(repr(n) for n, _, _ in rows)})"
+    steps = f"array({', '.join('array(' + ', '.join(map(str, lengths(n, ratio))) + ')' for _, _, n in rows)})"
+    fit = f"filter(sequence(0, {len(rows) - 1}), t -> size(k) >= {ratio!r}D * {sizes}[t] - 1e-9D and size(array_intersect(k, {sets}[t])) >= {ratio!r}D * {sizes}[t] - 1e-9D)"
+    # i: a bigram's position; q: that of its last occurrence, -1 if none; f: 1 if the template has it
+    has = "case t " + " ".join(f"when {k} then o.g in ({', '.join(repr(x) for x in g)})" for k, (_, g, _) in enumerate(rows)) + " end"
+    marked = f"transform(ordered, o -> named_struct('i', o.i, 'q', o.q, 'f', if({has}, 1, 0)))"
+    # where a position begins and ends to count for windows of l bigrams that start there
+    events = (
+        "sort_array(concat(transform(p, o -> named_struct('s', greatest(o.q, o.i - l) + 1, 'n', 1, 'f', o.f)), "
+        "transform(p, o -> named_struct('s', o.i + 1, 'n', -1, 'f', -o.f)), array(named_struct('s', size(b) + 1, 'n', 0, 'f', 0))))"
+    )
+    dice = f"round(2D * a.f / (a.n + {sizes}[t]), 6)"
+    window = f"named_struct('d', {dice}, 's', a.s, 'e', a.s + l, 'license', {names}[t])"
+    last = "element_at(a.out, -1)"
+    kind = "array<struct<d:double,s:int,e:int,license:string>>"
+    grown = (
+        f"case when x.s = a.s or a.f * 2D < {limit!r}D * (a.n + {sizes}[t]) - 1e-6D or {dice} < {limit!r}D or a.s + l > size(b) then a.out "
+        f"when size(a.out) = 0 or {last}.e <= a.s then array_append(a.out, {window}) "
+        f"when {last}.d < {dice} then array_append(slice(a.out, 1, size(a.out) - 1), {window}) else a.out end"
+    )
+    scored = f"aggregate({events}, named_struct('s', 0, 'n', 0, 'f', 0, 'out', cast(array() as {kind})), (a, x) -> named_struct('s', x.s, 'n', a.n + x.n, 'f', a.f + x.f, 'out', {grown}), a -> a.out)"
+    per_length = f"flatten(transform(filter({steps}[t], l -> l <= size(b)), l -> {scored}))"
+    every = f"flatten(transform({fit}, t -> flatten(transform(array({marked}), p -> {per_length}))))"
+    closer = "y.license != x.license and y.s < x.e and x.s < y.e and (y.d > x.d or y.d = x.d and y.license < x.license)"
+    return f"transform(array({every}), z -> filter(z, x -> not exists(z, y -> {closer})))[0]"
+
+
 def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """doc_id, license, dice (6 decimals), unit, unit_no: the best unit of each licence found in a document."""
     templates = _template_sql()
     ratio = limit / (2 - limit)  # sizes of similar units differ by this factor at most
-    low, high = min(n for _, n, _ in templates) * ratio, max(n for _, n, _ in templates) / ratio
-    known = ", ".join(sorted({g for _, _, grams in templates for g in grams[6:-1].split(", ")}))
+    low, high = min(n for _, n, *_ in templates) * ratio, max(n for _, n, *_ in templates) / ratio
+    every = sorted({g for *_, grams in templates for g in grams})
+    known = ", ".join(f"'{g}'" for g in every)
     lowered = F.lower("text")
+    words = triggers([grams for *_, grams in templates], ratio)
+    likely = reduce(or_, (lowered.contains(w) for w in words if len(w) > 3), lowered.rlike(rf"(?<![a-z0-9])(?:{'|'.join(w for w in words if len(w) < 4) or '(?!)'})(?![a-z0-9])"))
     named = lowered.contains("copyright") | lowered.contains("(c)") | lowered.contains("\xa9")
     holders = F.regexp_replace(lowered, F.lit(HOLDER.replace(r"\x20", " ").replace(r"\xA9", "\xa9")), F.lit(" "))
-    text = documents(docs).where("text is not null").select("doc_id", F.when(named, holders).otherwise(lowered).alias("text"))
+    text = documents(docs).where("text is not null").where(likely).select("doc_id", F.when(named, holders).otherwise(lowered).alias("text"))
     # every run of other characters becomes a space, but line ends stay
     plain = text.select("doc_id", F.regexp_replace("text", r"[^a-z0-9\n]+", " ").alias("text"))
     part = lambda kind, texts: f"transform({texts}, (x, i) -> named_struct('kind', {kind}, 'no', i, 'part', trim(translate(x, '\\n', ' '))))"
@@ -120,10 +204,19 @@ def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     sized = plain.select("doc_id", F.explode(F.expr(gated)).alias("u")).select("doc_id", "u.kind", "u.no", "u.b", F.size("u.b").alias("n"))
     tests = [
         f"if(n >= {size * ratio!r}D and n <= {size / ratio!r}D, named_struct('d', round(-2D * size(array_intersect(b, {grams})) / (n + {size}), 6), 'license', '{name}'), null)"
-        for name, size, grams in templates
+        for name, size, grams, _ in templates
     ]
     closest = sized.select("doc_id", "kind", "no", F.array_min(F.expr(f"array({', '.join(tests)})")).alias("m")).where(F.col("m.d") <= -limit)
     matched = closest.select("doc_id", "kind", "no", F.col("m.license").alias("license"), F.col("m.d").alias("d"))
+    # a text's bigrams in order, those that some template has, and each position with the bigram's last one
+    paired = plain.select("doc_id", F.expr("split(trim(translate(text, '\\n', ' ')), ' +')").alias("w")).where(f"size(w) > {low!r}D").select(
+        "doc_id", F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> concat(x, ' ', y))").alias("b")
+    )
+    shared = paired.select("doc_id", "b", F.expr(f"array_intersect(b, {_set_sql(every)})").alias("k")).where(f"size(k) >= {low!r}D")
+    sorted_ = shared.withColumn("so", F.expr("sort_array(transform(b, (x, i) -> named_struct('g', x, 'i', i)))"))
+    ordered = sorted_.withColumn("ordered", F.expr("zip_with(so, concat(array(named_struct('g', '', 'i', -1)), slice(so, 1, size(so) - 1)), (x, y) -> named_struct('g', x.g, 'i', x.i, 'q', if(x.g = y.g, y.i, -1)))"))
+    windows = ordered.select("doc_id", F.explode(F.expr(_windows(limit, ratio))).alias("x"))
+    matched = matched.unionAll(windows.select("doc_id", F.lit(3).alias("kind"), F.col("x.s").alias("no"), F.col("x.license").alias("license"), (-F.col("x.d")).alias("d")))
     best = F.min(F.struct("d", "kind", "no"))
     return matched.groupBy("doc_id", "license").agg(best.alias("x")).select(
         "doc_id", "license", (-F.col("x.d")).alias("dice"), F.element_at(F.array(*map(F.lit, UNITS)), F.col("x.kind") + 1).alias("unit"), F.col("x.no").alias("unit_no")
