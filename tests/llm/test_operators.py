@@ -249,6 +249,17 @@ def test_licenses_over_paragraphs_and_inside_lines(spark):
     assert got == {(0, "MIT"): 1.0, (1, "MIT"): 1.0, (2, "MIT"): 1.0, (3, "MIT"): 1.0, (3, "ISC"): 1.0, (4, "CC-BY-NC-4.0"): 1.0}
 
 
+def test_whole_license_texts_inside_long_documents(spark):
+    texts = {name: licenses.TEMPLATES[name][-1] for name in licenses.FULL}
+    rows = [(i, f"{prose(300, 20)}\n\n{t}\n\n{prose(300, 21)}") for i, t in enumerate(texts.values())]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.dice
+    for i, name in enumerate(texts):
+        assert got[i][name] == 1.0, name
+        assert {*got[i]} - {name} <= ({"BSD"} if name.startswith("BSD") else set()), (name, got[i])
+
+
 def test_license_windows_against_brute_force(spark):
     ratio, r, texts = licenses.LIMIT / (2 - licenses.LIMIT), random.Random(8), []
     short = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if len(t) < 600]

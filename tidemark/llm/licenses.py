@@ -13,8 +13,10 @@ tried for templates of which the text as a whole holds that share.
 
 Windows have STEPS lengths a template, its own among them, from the smallest to the largest similar one; all
 lengths if it is short. Every window of such a length is scored: a position counts for the starts since the
-same bigram's last occurrence, so the distinct bigrams of all windows follow from one sorted pass. Of
-windows that overlap the closest counts, and of different licences' too (ties: the first name).
+same bigram's last occurrence, so the distinct bigrams of all windows follow from one sorted pass. Of a
+licence's windows that overlap the closest counts. Of those of different licences that share more than half
+of the shorter one that counts which has most common bigrams above what the limit asks for (ties: the first
+name), so that a whole text goes before a notice or another licence's part in it.
 
 Defined results: null and empty texts match nothing; texts of any length are scanned whole; a unit
 counts for its closest licence (ties: the first name); of a document's units with the same licence the
@@ -28,8 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable
-from functools import reduce
-from operator import or_
+from importlib.resources import files
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,22 @@ TEMPLATES = {
     ],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
+#: Short notices of licences that have a whole text. Fixed values.
+NOTICES = {
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        TEMPLATES["GPL-3.0"][1].replace("GNU General", "GNU Affero General"),
+    ],
+}
+#: Licences whose whole text is a file of license_texts.
+FULL = ["Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "CC0-1.0"]
+for _name in FULL:
+    TEMPLATES[_name] = TEMPLATES.get(_name, []) + NOTICES.get(_name, []) + [(files(__package__) / "license_texts" / f"{_name}.txt").read_text("utf-8")]
 LIMIT = 0.8
 UNITS = ["line", "paragraph", "text", "window"]
 #: Lengths of windows tried for a template.
@@ -156,9 +173,9 @@ def _windows(limit: float, ratio: float) -> str:
         "transform(p, o -> named_struct('s', o.i + 1, 'n', -1, 'f', -o.f)), array(named_struct('s', size(b) + 1, 'n', 0, 'f', 0))))"
     )
     dice = f"round(2D * a.f / (a.n + {sizes}[t]), 6)"
-    window = f"named_struct('d', {dice}, 's', a.s, 'e', a.s + l, 'license', {names}[t])"
+    window = f"named_struct('d', {dice}, 's', a.s, 'e', a.s + l, 'license', {names}[t], 'm', a.f * 2D - {limit!r}D * (a.n + {sizes}[t]))"
     last = "element_at(a.out, -1)"
-    kind = "array<struct<d:double,s:int,e:int,license:string>>"
+    kind = "array<struct<d:double,s:int,e:int,license:string,m:double>>"
     grown = (
         f"case when x.s = a.s or a.f * 2D < {limit!r}D * (a.n + {sizes}[t]) - 1e-6D or {dice} < {limit!r}D or a.s + l > size(b) then a.out "
         f"when size(a.out) = 0 or {last}.e <= a.s then array_append(a.out, {window}) "
@@ -167,8 +184,11 @@ def _windows(limit: float, ratio: float) -> str:
     scored = f"aggregate({events}, named_struct('s', 0, 'n', 0, 'f', 0, 'out', cast(array() as {kind})), (a, x) -> named_struct('s', x.s, 'n', a.n + x.n, 'f', a.f + x.f, 'out', {grown}), a -> a.out)"
     per_length = f"flatten(transform(filter({steps}[t], l -> l <= size(b)), l -> {scored}))"
     every = f"flatten(transform({fit}, t -> flatten(transform(array({marked}), p -> {per_length}))))"
-    closer = "y.license != x.license and y.s < x.e and x.s < y.e and (y.d > x.d or y.d = x.d and y.license < x.license)"
-    return f"transform(array({every}), z -> filter(z, x -> not exists(z, y -> {closer})))[0]"
+    over = "2 * (least(x.e, y.e) - greatest(x.s, y.s)) > least(x.e - x.s, y.e - y.s)"
+    better = "y.license = x.license and y.s < x.e and x.s < y.e and (y.d > x.d or y.d = x.d and y.m > x.m)"
+    nearer = f"y.license != x.license and {over} and (y.m > x.m or y.m = x.m and y.license < x.license)"
+    own = f"transform(array({every}), z -> filter(z, x -> not exists(z, y -> {better})))[0]"
+    return f"transform(array({own}), z -> filter(z, x -> not exists(z, y -> {nearer})))[0]"
 
 
 def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -179,8 +199,7 @@ def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     every = sorted({g for *_, grams in templates for g in grams})
     known = ", ".join(f"'{g}'" for g in every)
     lowered = F.lower("text")
-    words = triggers([grams for *_, grams in templates], ratio)
-    likely = reduce(or_, (lowered.contains(w) for w in words if len(w) > 3), lowered.rlike(rf"(?<![a-z0-9])(?:{'|'.join(w for w in words if len(w) < 4) or '(?!)'})(?![a-z0-9])"))
+    likely = F.expr(f"arrays_overlap(split(lower(text), '[^a-z0-9]+'), {_set_sql(triggers([grams for *_, grams in templates], ratio))})")
     named = lowered.contains("copyright") | lowered.contains("(c)") | lowered.contains("\xa9")
     holders = F.regexp_replace(lowered, F.lit(HOLDER.replace(r"\x20", " ").replace(r"\xA9", "\xa9")), F.lit(" "))
     text = documents(docs).where("text is not null").where(likely).select("doc_id", F.when(named, holders).otherwise(lowered).alias("text"))
@@ -201,22 +220,20 @@ def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     made = f"transform({worded}, u -> named_struct('kind', u.kind, 'no', u.no, 'b', {grams}))"
     # by the same bounds, so much of a similar unit must be in some template
     gated = f"filter({made}, u -> size(u.b) >= {low!r}D and size(u.b) <= {high!r}D and size(filter(u.b, y -> y in ({known}))) >= {ratio!r}D * size(u.b) - 1e-9D)"
-    sized = plain.select("doc_id", F.explode(F.expr(gated)).alias("u")).select("doc_id", "u.kind", "u.no", "u.b", F.size("u.b").alias("n"))
     tests = [
-        f"if(n >= {size * ratio!r}D and n <= {size / ratio!r}D, named_struct('d', round(-2D * size(array_intersect(b, {grams})) / (n + {size}), 6), 'license', '{name}'), null)"
+        f"if(size(u.b) >= {size * ratio!r}D and size(u.b) <= {size / ratio!r}D, named_struct('d', round(-2D * size(array_intersect(u.b, {grams})) / (size(u.b) + {size}), 6), 'license', '{name}'), null)"
         for name, size, grams, _ in templates
     ]
-    closest = sized.select("doc_id", "kind", "no", F.array_min(F.expr(f"array({', '.join(tests)})")).alias("m")).where(F.col("m.d") <= -limit)
-    matched = closest.select("doc_id", "kind", "no", F.col("m.license").alias("license"), F.col("m.d").alias("d"))
+    whole = f"transform({gated}, u -> named_struct('kind', u.kind, 'no', u.no, 'm', array_min(array({', '.join(tests)}))))"
+    closest = f"transform(filter({whole}, u -> u.m.d <= {-limit!r}D), u -> named_struct('d', u.m.d, 'kind', u.kind, 'no', u.no, 'license', u.m.license))"
     # a text's bigrams in order, those that some template has, and each position with the bigram's last one
-    paired = plain.select("doc_id", F.expr("split(trim(translate(text, '\\n', ' ')), ' +')").alias("w")).where(f"size(w) > {low!r}D").select(
-        "doc_id", F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> concat(x, ' ', y))").alias("b")
-    )
-    shared = paired.select("doc_id", "b", F.expr(f"array_intersect(b, {_set_sql(every)})").alias("k")).where(f"size(k) >= {low!r}D")
+    paired = plain.withColumn("w", F.expr("split(trim(translate(text, '\\n', ' ')), ' +')")).withColumn("b", F.expr("if(size(w) > 1, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> concat(x, ' ', y)), array())"))
+    # the smallest share of a template that a similar unit must have
+    shared = paired.withColumn("k", F.expr(f"array_intersect(b, {_set_sql(every)})")).where(f"size(k) >= {low!r}D - 1e-9D")
     sorted_ = shared.withColumn("so", F.expr("sort_array(transform(b, (x, i) -> named_struct('g', x, 'i', i)))"))
     ordered = sorted_.withColumn("ordered", F.expr("zip_with(so, concat(array(named_struct('g', '', 'i', -1)), slice(so, 1, size(so) - 1)), (x, y) -> named_struct('g', x.g, 'i', x.i, 'q', if(x.g = y.g, y.i, -1)))"))
-    windows = ordered.select("doc_id", F.explode(F.expr(_windows(limit, ratio))).alias("x"))
-    matched = matched.unionAll(windows.select("doc_id", F.lit(3).alias("kind"), F.col("x.s").alias("no"), F.col("x.license").alias("license"), (-F.col("x.d")).alias("d")))
+    windows = f"transform({_windows(limit, ratio)}, x -> named_struct('d', -x.d, 'kind', 3, 'no', x.s, 'license', x.license))"
+    matched = ordered.select("doc_id", F.explode(F.expr(f"concat({closest}, {windows})")).alias("x")).select("doc_id", "x.*")
     best = F.min(F.struct("d", "kind", "no"))
     return matched.groupBy("doc_id", "license").agg(best.alias("x")).select(
         "doc_id", "license", (-F.col("x.d")).alias("dice"), F.element_at(F.array(*map(F.lit, UNITS)), F.col("x.kind") + 1).alias("unit"), F.col("x.no").alias("unit_no")
