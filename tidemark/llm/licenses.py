@@ -167,6 +167,9 @@ def _windows(limit: float, ratio: float) -> str:
     # i: a bigram's position; q: that of its last occurrence, -1 if none; f: 1 if the template has it
     has = "case t " + " ".join(f"when {k} then o.g in ({', '.join(repr(x) for x in g)})" for k, (_, g, _) in enumerate(rows)) + " end"
     marked = f"transform(ordered, o -> named_struct('i', o.i, 'q', o.q, 'f', if({has}, 1, 0)))"
+    # only windows with a hit matter: positions from the longest window before the first hit to as far after the last
+    hits = "transform(filter(r, o -> o.f = 1), o -> o.i)"
+    near = f"transform(array({marked}), r -> transform(array(named_struct('lo', array_min({hits}) - array_max({steps}[t]), 'hi', array_max({hits}) + array_max({steps}[t]))), g -> filter(r, o -> o.i between g.lo and g.hi))[0])"
     # where a position begins and ends to count for windows of l bigrams that start there
     events = (
         "sort_array(concat(transform(p, o -> named_struct('s', greatest(o.q, o.i - l) + 1, 'n', 1, 'f', o.f)), "
@@ -183,7 +186,7 @@ def _windows(limit: float, ratio: float) -> str:
     )
     scored = f"aggregate({events}, named_struct('s', 0, 'n', 0, 'f', 0, 'out', cast(array() as {kind})), (a, x) -> named_struct('s', x.s, 'n', a.n + x.n, 'f', a.f + x.f, 'out', {grown}), a -> a.out)"
     per_length = f"flatten(transform(filter({steps}[t], l -> l <= size(b)), l -> {scored}))"
-    every = f"flatten(transform({fit}, t -> flatten(transform(array({marked}), p -> {per_length}))))"
+    every = f"flatten(transform({fit}, t -> flatten(transform({near}, p -> {per_length}))))"
     over = "2 * (least(x.e, y.e) - greatest(x.s, y.s)) > least(x.e - x.s, y.e - y.s)"
     better = "y.license = x.license and y.s < x.e and x.s < y.e and (y.d > x.d or y.d = x.d and y.m > x.m)"
     nearer = f"y.license != x.license and {over} and (y.m > x.m or y.m = x.m and y.license < x.license)"
@@ -191,6 +194,12 @@ def _windows(limit: float, ratio: float) -> str:
     return f"transform(array({own}), z -> filter(z, x -> not exists(z, y -> {nearer})))[0]"
 
 
+def _bound(df: DataFrame, *columns: str) -> DataFrame:
+    """doc_id and ``columns``, made once a row: the optimizer copies expressions into later ones and into filters, but not those of a generator."""
+    fields = [F.expr(c) for c in columns]
+    return df.select("doc_id", F.explode(F.array(F.struct(*fields))).alias("v")).select("doc_id", "v.*")
+
+
 def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """doc_id, license, dice (6 decimals), unit, unit_no: the best unit of each licence found in a document."""
     templates = _template_sql()
@@ -227,13 +236,14 @@ def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     whole = f"transform({gated}, u -> named_struct('kind', u.kind, 'no', u.no, 'm', array_min(array({', '.join(tests)}))))"
     closest = f"transform(filter({whole}, u -> u.m.d <= {-limit!r}D), u -> named_struct('d', u.m.d, 'kind', u.kind, 'no', u.no, 'license', u.m.license))"
     # a text's bigrams in order, those that some template has, and each position with the bigram's last one
-    paired = plain.withColumn("w", F.expr("split(trim(translate(text, '\\n', ' ')), ' +')")).withColumn("b", F.expr("if(size(w) > 1, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> concat(x, ' ', y)), array())"))
+    paired = _bound(plain, "text", "split(trim(translate(text, '\\n', ' ')), ' +') as w")
+    pairs = _bound(paired, "text", "if(size(w) > 1, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (x, y) -> concat(x, ' ', y)), array()) as b")
     # the smallest share of a template that a similar unit must have
-    shared = paired.withColumn("k", F.expr(f"array_intersect(b, {_set_sql(every)})")).where(f"size(k) >= {low!r}D - 1e-9D")
-    sorted_ = shared.withColumn("so", F.expr("sort_array(transform(b, (x, i) -> named_struct('g', x, 'i', i)))"))
-    ordered = sorted_.withColumn("ordered", F.expr("zip_with(so, concat(array(named_struct('g', '', 'i', -1)), slice(so, 1, size(so) - 1)), (x, y) -> named_struct('g', x.g, 'i', x.i, 'q', if(x.g = y.g, y.i, -1)))"))
+    shared = _bound(pairs, "text", "b", f"array_distinct(filter(b, x -> x in ({known}))) as k").where(f"size(k) >= {low!r}D - 1e-9D")
+    sorted_ = _bound(shared, "text", "b", "k", "sort_array(transform(b, (x, i) -> named_struct('g', x, 'i', i))) as so")
+    ordered = _bound(sorted_, "text", "b", "k", "zip_with(so, concat(array(named_struct('g', '', 'i', -1)), slice(so, 1, size(so) - 1)), (x, y) -> named_struct('g', x.g, 'i', x.i, 'q', if(x.g = y.g, y.i, -1))) as ordered")
     windows = f"transform({_windows(limit, ratio)}, x -> named_struct('d', -x.d, 'kind', 3, 'no', x.s, 'license', x.license))"
-    matched = ordered.select("doc_id", F.explode(F.expr(f"concat({closest}, {windows})")).alias("x")).select("doc_id", "x.*")
+    matched = _bound(ordered, f"concat({closest}, {windows}) as found").select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
     best = F.min(F.struct("d", "kind", "no"))
     return matched.groupBy("doc_id", "license").agg(best.alias("x")).select(
         "doc_id", "license", (-F.col("x.d")).alias("dice"), F.element_at(F.array(*map(F.lit, UNITS)), F.col("x.kind") + 1).alias("unit"), F.col("x.no").alias("unit_no")
