@@ -104,8 +104,13 @@ LIMIT = 0.8
 UNITS = ["line", "paragraph", "text", "window"]
 #: Lengths of windows tried for a template.
 STEPS = 13
-#: Words too common to tell a licence; ``triggers`` takes them only where nothing else does.
-COMMON = {*"a all and any are be by can copy for from http in including is may not of on or other provided see source that the this to under without with work you".split()}
+#: Words that are in most prose; ``triggers`` takes them only where nothing else does, and words of fewer than TELLING letters only where no longer one does.
+COMMON = {
+    *"a all an and any are as at be been before but by can could do each either for free from had has have he her his how http i if in include including into is it its".split(),
+    *"made make making may means more must necessary no not of on only or other our out own part provided public see she should similar so some source such than that the".split(),
+    *"their them then there these they this those through time to under use used was we were what when where whether which who will with without word words work would you your".split(),
+}
+TELLING = 6
 #: Whole lines that name a holder and not a licence. Fixed value.
 HOLDER = r"(?im)^[^a-z0-9\n]*(?:copyright\b|\(c\)\x20|\xA9)[^\n]*$"
 
@@ -144,7 +149,7 @@ def triggers(sets: list[list[str]], ratio: float) -> list[str]:
         for grams, rest, need in zip(sets, left, needed):
             if len(grams) - len(rest) <= need:
                 gain.update({w: n / len(grams) for w, n in Counter(w for g in rest for w in {*g.split()}).items()})
-        out.append(max(gain, key=lambda w: (w not in COMMON and len(w) > 1, gain[w] * len(w), w)))
+        out.append(max(gain, key=lambda w: (w not in COMMON, len(w) >= TELLING, gain[w] * len(w), w)))
         left = [{g for g in rest if out[-1] not in g.split()} for rest in left]
     return out
 
