@@ -20,9 +20,11 @@ SLICE = 256
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``; where that is unset (tests), under a folder of our own."""
+    """A new folder's path under ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster must name one that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,7 +34,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of tables that ``materialize`` gave and that nothing reads any more."""
+    for df in frames:
+        jvm, path = df.sparkSession._jvm, getattr(df, "shared_path", None)
+        if path:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,17 +10,21 @@ each. In each table bucket every member is paired with the bucket's smallest mem
 pairs), and each document's most promising pair is verified on full shingle sets. That joins most of what
 belongs together. Documents in buckets that still hold several components go through an exact search: sets
 of similarity s share one of their n - ceil(s * n) + 1 rarest shingles (rarity among these documents, ties
-by hash), so documents meet by those, in order of set size, with ever farther neighbours (``REACH``, then
-eight times as far each round) until a shingle's documents are all in one component or have all met. No
-link between documents that share a bucket with another component is lost, and no group is gathered in a
-task; a round only pairs documents of different components, of sizes and places of the shingle that allow a link.
+by hash), so documents meet by those. A shingle's documents are dealt by hash into cells of about CELL, in the
+next round into cells eight times as large, until they are all in one component or all have met; those of the
+shingle's largest component only meet others. No link between documents that share a bucket with another component
+is lost, and no group is gathered in a task; only documents of different components, of sizes and places of the
+shingle that allow a link, are paired.
 
 Components are the smallest doc_id reachable, by alternating large-star and small-star steps on the verified
 pairs, with every step's pairs written to the shared folder.
 
-Defined results: null, empty and wordless texts have an empty set and are linked with nothing; rows with an
-equal doc_id are one node; a null doc_id is linked with nothing and kept, with a null component_id; an empty
-table gives an empty result; other columns are ignored.
+A key's count or minimum is written as a table before rows are joined with it. So both sides of the join are plain
+exchanges, and Spark splits the rows of a hot key (adaptive skew join) where it couldn't split an aggregate.
+
+Defined results: null, empty and wordless texts have an empty set and are linked with nothing; texts of any length
+have their whole set; rows with an equal doc_id are one node; a null doc_id is linked with nothing and kept, with a
+null component_id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, documents, materialize, mixed, rows_of, shingles
+from .common import WordHashes, documents, materialize, mixed, release, rows_of, shingles
 
 COLLECTION, BLOCK = 8, 2
 PERCENT, SHINGLE = 80, 4
-#: How many neighbours a document meets by one shingle in the first exact round.
-REACH = 64
+#: Documents that meet by one shingle in the first exact round, on average.
+CELL = 64
 _RNG = np.random.default_rng(20240229)
 FACTORS = _RNG.integers(1, 1 << 63, 2 * COLLECTION * BLOCK, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -105,16 +109,18 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge. Edges: (a, b)."""
-    current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    current, last = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ()
     while True:
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = materialize(both.join(least.hint("merge"), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
         # small star: a node's smaller neighbours, and itself, are linked to the smallest of them
-        under = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(under, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(under.select("a", F.col("m").alias("b")))
+        under = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(under.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(under.select("a", F.col("m").alias("b")))
         current = materialize(small.distinct(), name)
+        release(least, large, under, *last)
+        last = (current,)
         # done when every node has one link, to a node without any
         links = current.select("a", F.lit(1).alias("n")).unionAll(current.select(F.col("b").alias("a")).distinct().select("a", F.lit(0).alias("n")))
         if links.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1 or rows > n and n > 0").isEmpty():
@@ -141,36 +147,30 @@ def rarest(texts: DataFrame, k: int, percent: int) -> DataFrame:
                     part = own[at : at + (1 << 16)].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(own.tobytes()) >> 1], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([part], pa.list_(pa.int64()))], ["a", "own", "n", "h"])
 
-    tokens = texts.mapInArrow(run, "a long, own long, n long, h array<long>").withColumn("h", F.explode("h"))
-    counts = tokens.groupBy("h").agg(F.count("*").alias("docs")).where("docs > 1")
+    sets = materialize(texts.mapInArrow(run, "a long, own long, n long, h array<long>"), "sets")
+    tokens = sets.withColumn("h", F.explode("h"))
+    counts = materialize(tokens.groupBy("h").agg(F.count("*").alias("docs")).where("docs > 1"), "counts")
     # counted from the most frequent one, so that those left out need not be there
     common = F.row_number().over(Window.partitionBy("a", "own").orderBy(F.desc("docs"), F.desc("h")))
     shared = tokens.join(counts.hint("merge"), "h").withColumn("common", common)
-    return shared.where(f"common >= ({percent} * n + 99) div 100").select("h", "a", "n", "common").distinct()
+    out = materialize(shared.where(f"common >= ({percent} * n + 99) div 100").select("h", "a", "n", "common").distinct(), "rarest")
+    release(sets, counts)
+    return out
 
 
-def placed(few: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """h, a, n, common, main, place, reach: where the sets of a shingle are found, and which places each set has to look at.
+def met(own: DataFrame, percent: int, cell: int) -> DataFrame:
+    """(a, b) pairs of documents of different components that share a shingle's cell and could be similar.
 
-    Only shingles of several components are kept. Sets of the shingle's largest component (``main``) are numbered apart
-    from the others, by size, and don't look at each other. ``reach``: (main, low, high) of the places low + 1 to high
-    whose sizes the set's own size and ``common`` allow; those sets aren't larger, larger ones look from their side.
+    ``own``: h, a, n, common, ra, and of the shingle ``largest`` (its largest component) and ``rows``. Sizes are dealt in bands,
+    of which a similar set's is the own or a next one.
     """
-    own = _labelled(few, "a", roots, "ra")
-    shares = own.groupBy("h", "ra").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "ra")).alias("most"), F.count("*").alias("parts"))
-    several = own.join(shares.where("parts > 1").select("h", F.col("most.ra").alias("largest")).hint("merge"), "h").withColumn("main", F.col("ra") == F.col("largest"))
-    # only rows that can have a partner of their size are numbered (others have none that isn't smaller)
-    most = f"({100 + percent} * common) div {percent} - n"
-    events = several.select("h", "a", "n", "common", "main", F.explode(F.expr(f"""filter(array(
-        named_struct('v', ({percent} * n + 99) div 100, 'kind', 0), named_struct('v', n, 'kind', if({most} >= n, 1, 2)), named_struct('v', {most}, 'kind', 2)
-    ), (x, i) -> i < 2 and (x.kind < 2) or i = 2 and {most} < n)""")).alias("e"))
-    order = Window.partitionBy("h").orderBy("e.v", "e.kind", "a", "common").rowsBetween(Window.unboundedPreceding, 0)
-    at = events.select("*", *(F.sum(F.expr(f"if(e.kind = 1 and {x}, 1, 0)")).over(order).alias(y) for x, y in (("main", "at_main"), ("not main", "at_rest"))))
-    ends = [F.max(F.expr(f"if(e.kind {kind}, {x}, null)")).alias(f"{end}_{x}") for x in ("at_main", "at_rest") for kind, end in (("= 0", "low"), ("> 0", "high"))]
-    ended = at.groupBy("h", "a", "n", "common", "main").agg(F.max(F.expr("if(e.kind = 1, if(main, at_main, at_rest), null)")).alias("place"), *ends)
-    rest = "named_struct('main', false, 'low', low_at_rest, 'high', high_at_rest - if(main or place is null, 0, 1))"
-    reach = F.expr(f"if(main, array({rest}), array(named_struct('main', true, 'low', low_at_main, 'high', high_at_main), {rest}))")
-    return ended.select("h", "a", "n", "common", "main", "place", reach.alias("reach"))
+    band = f"cast(floor(ln(n) / ln(100D / {min(percent, 99)}) + 1e-9D) as int)"
+    dealt = own.withColumn("band", F.expr(band)).withColumn("cell", F.pmod(F.xxhash64("a"), F.ceil(F.col("rows") / cell)))
+    looks = dealt.where("ra <> largest").select("h", "cell", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("ra").alias("rx"))
+    # by the rarest shingle that two similar sets share, at most the smaller ``common`` can be shared
+    fitting = f"ra <> rx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and {100 + percent} * least(cx, common) >= {percent} * (nx + n)"
+    pairs = looks.join(dealt.select("h", "cell", "band", "a", "n", "common", "ra").hint("merge"), ["h", "cell", "band"]).where(fitting)
+    return pairs.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, stats: dict | None = None) -> DataFrame:
@@ -178,14 +178,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
     docs = documents(docs)
     sketches = materialize(sketch(docs, k), "sketches")
     linkable = sketches.where("n_shingles > 0 and doc_id is not null")
-    firsts = linkable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    copies = linkable.join(firsts.where("n > 1").select("same", "rep"), "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = linkable.join(firsts.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"]).select(F.col("doc_id").alias("a"), "blocks")
+    groups = materialize(linkable.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
+    marked = linkable.select("same", "doc_id", "blocks").join(groups.hint("merge"), "same", "left")
+    reps = materialize(marked.where("rep is null or rep = doc_id").select(F.col("doc_id").alias("a"), "blocks"), "reps")
     keys = ", ".join(f"xxhash64({i}, {j}, blocks[{i}], blocks[{COLLECTION + j}])" for i in range(COLLECTION) for j in range(COLLECTION))
     rows = reps.select("a", F.explode(F.expr(f"array({keys})")).alias("key"))
-    shared = rows.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("key", "b")
     # the large joins sort and merge at every size, so that their plan doesn't change as the data grow
+    shared = materialize(rows.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("key", "b"), "buckets")
     members = materialize(rows.join(shared.hint("merge"), "key").select("key", "a", "b"), "members")
+    release(reps, shared)
     # candidates: each member with its bucket's smallest
     stars = materialize(members.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "stars")
     involved = stars.select("a").unionAll(stars.select("b")).distinct().withColumnRenamed("a", "doc_id")
@@ -197,36 +198,35 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, s
     roots = components(links)
     # documents of buckets with several components
     own = _labelled(members.select("key", "a"), "a", roots, "ra")
-    several = own.groupBy("key").agg(F.min("ra").alias("least"), F.max("ra").alias("most")).where("least < most").select("key")
-    apart = own.join(several.hint("merge"), "key").select(F.col("a").alias("doc_id")).distinct()
-    few = materialize(rarest(texts.join(apart.hint("merge"), "doc_id", "left_semi"), k, percent), "rarest")
-    at = materialize(placed(few, roots, percent), "placed")
-    tested, low, high, rounds = first, 0, REACH, []
+    several = materialize(own.groupBy("key").agg(F.min("ra").alias("least"), F.max("ra").alias("most")).where("least < most").select("key"), "several")
+    apart = materialize(own.join(several.hint("merge"), "key").select(F.col("a").alias("doc_id")).distinct(), "apart")
+    few = rarest(texts.join(apart.hint("merge"), "doc_id", "left_semi"), k, percent)
+    if stats is not None:
+        stats |= {"members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "apart": apart.count(), "rarest": few.count()}
+    release(members, several, apart)
+    tested, cell, least, rounds = first, CELL, 1, []
     while True:
-        # groups of several components whose documents have not all met
-        own = _labelled(at, "a", roots, "ra")
-        ahead = "array_max(transform(reach, x -> x.high - x.low))"
-        open_ = own.groupBy("h").agg(F.min("ra").alias("least"), F.max("ra").alias("most"), F.max(F.expr(ahead)).alias("ahead")).where(f"least < most and ahead > {low}").select("h")
-        own = materialize(own.join(open_.hint("merge"), "h"), "apart")
-        if own.isEmpty():
+        # shingles of several components whose documents have not all met
+        own = _labelled(few, "a", roots, "ra")
+        shares = own.groupBy("h", "ra").agg(F.count("*").alias("rows")).groupBy("h").agg(F.max(F.struct("rows", "ra")).alias("top"), F.count("*").alias("parts"), F.sum("rows").alias("rows"))
+        open_ = materialize(shares.where(f"parts > 1 and rows > {least}").select("h", F.col("top.ra").alias("largest"), "rows"), "open")
+        if open_.isEmpty():
             break
-        looks = own.select("h", F.explode("reach").alias("r"), F.col("a").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("ra").alias("rx")).where(f"r.high - r.low > {low}")
-        ahead = looks.select("h", "r.main", F.explode(F.expr(f"sequence(r.low + {low + 1}, least(r.low + {high}, r.high))")).alias("place"), "x", "nx", "cx", "rx")
-        # by the rarest shingle that two similar sets share, at most the smaller ``common`` can be shared
-        fitting = f"ra <> rx and 100 * n >= {percent} * nx and {100 + percent} * least(cx, common) >= {percent} * (nx + n)"
-        met = ahead.join(own.where("place is not null").select("h", "main", "place", "a", "n", "common", "ra").hint("merge"), ["h", "main", "place"]).where(fitting)
-        todo = materialize(met.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "todo")
+        own = materialize(own.join(open_.hint("merge"), "h"), "own")
+        todo = materialize(met(own, percent, cell).join(tested, ["a", "b"], "left_anti"), "todo")
+        release(own, open_)
         more = materialize(verified(todo, texts, k, percent), "links")
-        rounds.append((low, high, todo, more))
+        rounds.append((cell, todo, more))
         if not more.isEmpty():
             links = links.unionAll(more)
             roots = components(links)
-        tested, low, high = tested.unionAll(todo), high, 8 * high
+        tested, cell, least = tested.unionAll(todo), 8 * cell, cell
     # copies join their representative's component
-    of_copies = _labelled(copies.select(F.col("a").alias("node"), F.col("b").alias("rep")), "rep", roots, "root").select("node", "root")
+    rooted = materialize(_labelled(groups, "rep", roots, "root"), "rooted")
+    of_copies = linkable.select("same", "doc_id").join(rooted.hint("merge"), "same").where("doc_id <> rep").select(F.col("doc_id").alias("node"), "root")
     every = roots.unionAll(of_copies).groupBy("node").agg(F.min("root").alias("component_id")).withColumnRenamed("node", "doc_id")
     if stats is not None:
-        stats |= {"reps": reps.count(), "members": members.count(), "stars": stars.count(), "texts": texts.count(), "first": first.count(), "links": links.count(), "apart": apart.count(), "rarest": few.count(), "placed": at.count(), "rounds": [(a, b, c.count(), d.count()) for a, b, c, d in rounds], "copies": copies.count()}
+        stats |= {"rounds": [(a, b.count(), c.count()) for a, b, c in rounds]}
     joined = sketches.select("doc_id", "n_shingles").join(every, "doc_id", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
