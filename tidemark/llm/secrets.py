@@ -1,12 +1,16 @@
 """Secret scan (native): fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 Entropy is taken per character class (hexadecimal, lower-case base 36, base 64) over windows of WINDOW
-characters. Counts are kept incrementally: a step adds the entering character and takes off the leaving
-one. Windows at or over the class's limit are joined to spans of kind ``entropy``. Spans that lie in a
-base span, and candidates on the allow-list, are not reported.
+characters. Counts are incremental: a step changes the sum of ``count * log2(count)`` by the entering character's
+and the leaving one's terms, whose counts come from the window's characters alone. Windows at or over the class's limit
+are joined to spans of kind ``entropy``. Windows that overlap a harmless word, spans that lie in a base span, and
+candidates on the allow-list are not reported.
 
-Defined results: null or empty text has no spans (counts 0, the hash of nothing); a null doc_id is kept;
-repeated rows give repeated results; other columns are ignored.
+All work is in proportion to the text: arrays that grow (matches, windows) are made in chunks of CHUNK.
+
+Defined results: null or empty text has no spans (counts 0, the hash of nothing); texts and candidates of any length
+are scanned whole; a null doc_id is kept; repeated rows give repeated results; spans with an equal start go by kind;
+an empty table gives an empty result; other columns, whatever their names, are ignored, and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ ALLOWED = [
     r"^[A-Za-z/_-]+$",  # words, paths and names without a digit
     r"^[0-9/_+-]+$",  # numbers, dates and telephone numbers
     r"^[A-Z]?[a-z]+[0-9]{1,4}$",  # a word with a number
-    r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefghij",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",  # a path or slug that ends in a number
 ]
+#: Parts of candidates that are harmless, and so are the windows that overlap them.
+HARMLESS = r"(?i)(?:example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefghij)"
+CHUNK = 256
 KINDS = ["assign", "access", "hex", "entropy"]
 
 
@@ -45,6 +51,23 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+def _bound(value: str, name: str, then: str) -> str:
+    """SQL for ``then``, in which ``name`` stands for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {then})[0]"
+
+
+def _chunks(array: str) -> str:
+    """SQL for an array cut in arrays of CHUNK."""
+    return f"transform(sequence(0, (size({array}) - 1) div {CHUNK}), k_ -> slice({array}, k_ * {CHUNK} + 1, {CHUNK}))"
+
+
+def _scan(numbers: str, joined: str = "{} + {}") -> str:
+    """SQL for what ``joined`` makes of all numbers before each of an array, 0 at first: within chunks, then over the chunks."""
+    one = lambda array, number: f"aggregate({array}, named_struct('at', 0, 'out', cast(array() as array<int>)), (a_, x_) -> named_struct('at', {joined.format('a_.at', number)}, 'out', array_append(a_.out, a_.at)))"
+    local = _bound(numbers, "l_", f"transform({_chunks('l_')}, c_ -> {one('c_', 'x_')})")
+    return _bound(local, "p_", f"flatten(zip_with(p_, {one('p_', 'x_.at')}.out, (y_, b_) -> transform(y_.out, z_ -> {joined.format('z_', 'b_')})))")
+
+
 def _spans(text: str, pattern: str, least: tuple[int, int] | None = None) -> str:
     """SQL for an array of (s, e, v): where ``pattern`` matches in ``text``, leftmost and without overlap.
 
@@ -53,30 +76,37 @@ def _spans(text: str, pattern: str, least: tuple[int, int] | None = None) -> str
     """
     p = _quoted(pattern)
     group = f"regexp_extract_all({text}, {p}, {least[0]})" if least else f"regexp_extract_all({text}, {p}, 0)"
+    # x: the text before a match, the match, its group; the last one is the text after all matches
     parts = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), {group})"
-    step = "named_struct('at', a.at + char_length(x.`0`) + coalesce(char_length(x.`1`), 0), 'out', if(x.`1` is null, a.out, array_append(a.out, named_struct('s', a.at + char_length(x.`0`), 'e', a.at + char_length(x.`0`) + char_length(x.`1`), 'v', x.`2`))))"
-    folded = f"aggregate({parts}, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,v:string>>)), (a, x) -> {step}, a -> a.out)"
-    kept = f"filter({folded}, x -> char_length(x.v) >= {least[1]})" if least else folded
-    return f"if({text} rlike {p}, {kept}, cast(array() as array<struct<s:int,e:int,v:string>>))"
+    lengths = "transform(x, w -> char_length(w.`0`) + coalesce(char_length(w.`1`), 0))"
+    placed = f"zip_with(x, {_scan(lengths)}, (w, at) -> named_struct('s', at + char_length(w.`0`), 'e', at + char_length(w.`0`) + char_length(w.`1`), 'v', w.`2`))"
+    kept = f"filter({placed}, y -> char_length(y.v) >= {least[1] if least else 1})"
+    return f"if({text} rlike {p}, {_bound(parts, 'x', kept)}, cast(array() as array<struct<s:int,e:int,v:string>>))"
 
 
 def _windows(candidate: str) -> str:
     """SQL for the joined spans, relative to the candidate's start, of windows with enough entropy."""
     w = WINDOW
     table = "array(" + ", ".join(f"{k * math.log2(k) if k else 0.0}D" for k in range(w + 2)) + ")"
-    limit = f"case when {candidate} rlike '^[0-9a-f]+$' or {candidate} rlike '^[0-9A-F]+$' then {LIMITS['hex']}D when {candidate} rlike '^[0-9a-z]+$' then {LIMITS['base36']}D else {LIMITS['base64']}D end"
-    # i: index from 0; x: the entering character's place in the alphabet; y: the leaving one's, 0 if none
-    chars = f"transform(sequence(0, char_length({candidate}) - 1), i -> named_struct('i', i, 'x', instr('{ALPHABET}', substring({candidate}, i + 1, 1)), 'y', if(i < {w}, 0, instr('{ALPHABET}', substring({candidate}, i + 1 - {w}, 1))), 'limit', {limit}))"
     term = lambda count: f"element_at({table}, {count} + 1)"  # noqa: E731  count * log2(count)
-    came = "element_at(a.c, k.x)"
-    gone = "(element_at(a.c, k.y) + if(k.y = k.x, 1, 0))"
-    counts = "transform(a.c, (c, j) -> c + if(j + 1 = k.x, 1, 0) - if(j + 1 = k.y, 1, 0))"
-    total = f"a.t + {term(f'({came} + 1)')} - {term(came)} + if(k.y = 0, 0D, {term(f'({gone} - 1)')} - {term(gone)})"
-    full = f"k.i >= {w - 1} and {math.log2(w)}D - ({total}) / {w} >= k.limit"
-    last = "element_at(a.out, -1)"
-    grown = f"if(size(a.out) > 0 and {last}.e >= k.i + 1 - {w}, array_append(slice(a.out, 1, size(a.out) - 1), named_struct('s', {last}.s, 'e', k.i + 1)), array_append(a.out, named_struct('s', k.i + 1 - {w}, 'e', k.i + 1)))"
-    empty = "cast(array() as array<struct<s:int,e:int>>)"
-    return f"aggregate({chars}, named_struct('c', array_repeat(0, {len(ALPHABET)}), 't', 0D, 'out', {empty}), (a, k) -> named_struct('c', {counts}, 't', {total}, 'out', if({full}, {grown}, a.out)), a -> a.out)"
+    count = lambda start, length, place: f"size(filter(slice(c, {start}, {length}), v -> v = c[{place}]))"
+    # the first window of a chunk is summed up; each next one, at i, lacks character i - 1 and has character i + w - 1 more
+    first = f"aggregate(sequence(0, {w - 1}), 0D, (t, j) -> t + log2({count('b + 1', w, 'b + j')}))"
+    moved = f"a.t + {term(count('i + 1', w, f'i + {w} - 1'))} - {term(count('i + 1', w - 1, f'i + {w} - 1'))} + {term(count('i + 1', w - 1, 'i - 1'))} - {term(count('i', w, 'i - 1'))}"
+    full = f"{math.log2(w)}D - x.t / {w} >= {{limit}}"
+    step = f"transform(array(if(i = b, a.t, {moved})), t -> named_struct('t', t, 'out', array_append(a.out, named_struct('i', i, 't', t))))[0]"
+    chunk = f"aggregate(sequence(b, least(b + {CHUNK - 1}, size(c) - {w})), named_struct('t', {first}, 'out', cast(array() as array<struct<i:int,t:double>>)), (a, i) -> {step}).out"
+    every = f"flatten(transform(sequence(0, size(c) - {w}, {CHUNK}), b -> {chunk}))"
+    limit = f"case when {candidate} rlike '^[0-9a-f]+$' or {candidate} rlike '^[0-9A-F]+$' then {LIMITS['hex']}D when {candidate} rlike '^[0-9a-z]+$' then {LIMITS['base36']}D else {LIMITS['base64']}D end"
+    at = f"transform(filter({every}, x -> {full.format(limit='k.limit')}), x -> x.i)"
+    clear = "if(size(k.bad) = 0, f, filter(f, i -> not exists(k.bad, y -> y.s < i + {w} and i < y.e)))".replace("{w}", str(w))
+    # windows that touch are one span: it starts where there is none close before, and ends where there is none close after
+    begin = f"filter(g, (i, n) -> n = 0 or i - g[n - 1] > {w})"
+    end = f"filter(g, (i, n) -> n = size(g) - 1 or g[n + 1] - i > {w})"
+    spans = f"zip_with({begin}, {end}, (x, y) -> named_struct('s', x, 'e', y + {w}))"
+    known = f"named_struct('limit', {limit}, 'bad', {_spans(candidate, HARMLESS)})"
+    inside = _bound(known, "k", _bound(f"split({candidate}, '')", "c", _bound(at, "f", _bound(clear, "g", spans))))
+    return inside
 
 
 def _joined(spans: str) -> str:
@@ -115,18 +145,21 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span masked in ``text``; ``n_chars``, if there, follows. No row goes, no other column changes."""
     every = _scanned(docs.select(F.struct("*").alias("carry"), F.coalesce("text", F.lit("")).alias("text")))
-    clean = every.select("carry", F.when(F.size("found") > 0, redacted(F.col("text"), F.col("found"), mask)).otherwise(F.col("carry.text")).alias("clean"), (F.size("found") > 0).alias("changed"))
+    clean = every.select("carry", F.when(F.size("found") > 0, redacted("text", "found", mask)).otherwise(F.col("carry.text")).alias("clean"), (F.size("found") > 0).alias("changed"))
     new = {"text": F.col("clean"), "n_chars": F.when(F.col("changed"), F.char_length("clean").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("carry.n_chars") if "n_chars" in docs.columns else None)}
     return clean.select(*(new[c].alias(c) if c in new else F.col("carry").getField(c).alias(c) for c in docs.columns))
 
 
-def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with each span of ``found`` (sorted; overlaps count once) replaced by ``mask``."""
-    step = lambda a, x: F.when(
-        x["e"] <= a["at"], a
-    ).otherwise(F.struct(
-        x["e"].alias("at"),
-        F.concat(a["out"], F.when(x["s"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mask))).otherwise(F.lit(""))).alias("out"),
-    ))
-    whole = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+def _masked(text: str, found: str, mask: str) -> str:
+    """SQL for ``text`` with each span of ``found``, at least one, replaced: what lies between the spans is cut from its characters."""
+    before = _scan(f"transform({found}, x_ -> x_.e)", "greatest({}, {})")
+    # a span that begins before an earlier one's end belongs to that one
+    heads = f"filter(zip_with({found}, {before}, (x, m) -> named_struct('s', x.s, 'm', m)), y -> y.s >= y.m)"
+    pieces = f"transform({heads}, y -> concat(array_join(slice(c, y.m + 1, y.s - y.m), ''), {_quoted(mask)}))"
+    rest = f"array_join(slice(c, array_max(transform({found}, x -> x.e)) + 1, size(c)), '')"
+    return _bound(f"split({text}, '')", "c", f"concat(array_join({pieces}, ''), {rest})")
+
+
+def redacted(text: str = "text", found: str = "found", mask: str = "[SECRET]") -> Column:
+    """The text column with each span of ``found`` (sorted; overlaps count once) replaced by ``mask``."""
+    return F.expr(f"if(size({found}) > 0, {_masked(text, found, mask)}, {text})")
