@@ -12,7 +12,8 @@ Runs of whole pieces from the start state are kept too (they are one long transi
 
 Defined results: null text counts as empty and gives no ids; texts of any length are encoded whole, in
 pieces; every match of the pattern is encoded by itself; no special tokens; repeated rows and rows with a
-null doc_id give their own results; other columns are ignored.
+null doc_id give their own results; an empty table gives an empty result; other columns are ignored. Bytes that
+aren't UTF-8 decode to U+FFFD, one for each longest prefix of a character.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import documents, rows_of
 
 #: White space as Unicode's property has it; Python's \s also has the separators 1C to 1F.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 STATES, PIECES, PAIRS = 25_000, 700_000, 500_000
 
@@ -177,45 +178,65 @@ class Transducer:
         return self.run(piece) if whole is None else [whole]
 
 
+#: First bytes of UTF-8 characters, by range, with the continuation bytes that are to come and the range of the first of them. Fixed values.
+LEADS = [(0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F)]
+
+
+def utf8_steps() -> list[list[int]]:
+    """The machine's table, state by byte: state 0 is between characters, -1 no step. A state is what may come next."""
+    states = {(0, 0, 0): 0}
+    steps = [[0] * 0x80 + [-1] * 0x80]
+
+    def number(state: tuple[int, int, int]) -> int:
+        if state not in states:
+            states[state] = len(steps)
+            steps.append([-1] * 256)
+            missing, low, high = state
+            steps[states[state]][low : high + 1] = [number((missing - 1, 0x80, 0xBF)) if missing > 1 else 0] * (high + 1 - low)
+        return states[state]
+
+    for first, last, *state in LEADS:
+        steps[0][first : last + 1] = [number(tuple(state))] * (last + 1 - first)
+    return steps
+
+
 class Utf8:
-    """Incremental UTF-8 decoding by states: how many bytes are missing, and what the next one may be."""
+    """Incremental UTF-8 decoding: a machine steps over every byte; in state 0 it stays over ASCII, which is taken in runs."""
 
-    def __init__(self):
-        self.missing, self.low, self.high, self.held = 0, 0x80, 0xBF, b""
+    STEPS = utf8_steps()
+    BEYOND = re.compile(rb"[\x80-\xff]")
 
-    def _expects(self, b: int) -> bool:
-        """From the start state, on a byte of 0x80 or more; False if no character begins with it."""
-        for first, last, missing, low, high in ((0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F)):
-            if first <= b <= last:
-                self.missing, self.low, self.high = missing, low, high
-                return True
-        return False
+    def __init__(self):
+        self.state, self.held = 0, b""
 
     def feed(self, chunk: bytes) -> str:
-        """Text that is complete; an unfinished character is held. What isn't UTF-8 gives U+FFFD."""
-        data, self.held = self.held + chunk, b""
-        # all but the last three bytes can't be an unfinished end; those are stepped through
-        cut = len(data)
-        for back in range(1, min(4, len(data) + 1)):
-            if data[-back] >= 0xC0:
-                self.missing = 0
-                if self._expects(data[-back]):
-                    for b in data[len(data) - back + 1 :]:
-                        if not self.low <= b <= self.high:
-                            self.missing = -1
-                            break
-                        self.missing, self.low, self.high = self.missing - 1, 0x80, 0xBF
-                    if self.missing > 0:
-                        cut = len(data) - back
-                break
-            if data[-back] < 0x80:
-                break
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        """Text that is complete; an unfinished character is held. A byte that can't follow ends the character, which gives U+FFFD, and begins anew."""
+        steps, beyond, state = self.STEPS, self.BEYOND.search, self.state
+        data = self.held + chunk if self.held else chunk
+        # done: what is given out already; begin: where the open character begins
+        out, done, begin, at, n = [], 0, 0, len(self.held), len(data)
+        while at < n:
+            if not state:
+                found = beyond(data, at)
+                if found is None:
+                    at = n
+                    break
+                begin = at = found.start()
+            after = steps[state][data[at]]
+            if after >= 0:
+                state, at = after, at + 1
+                continue
+            out += data[done:begin].decode(), "\ufffd"
+            at += not state
+            done, begin, state = at, at, 0
+        end = begin if state else n
+        self.state, self.held = state, data[end:]
+        out.append(data[done:end].decode())
+        return "".join(out)
 
     def close(self) -> str:
-        held, self.held = self.held, b""
-        return held.decode("utf-8", "replace")
+        held, self.state, self.held = self.held, 0, b""
+        return "\ufffd" if held else ""
 
 
 class Codec:
