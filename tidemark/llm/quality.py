@@ -1,17 +1,19 @@
 """Quality rules: fixed base rules, and calibrated logistic regression on hashed word and character n-grams.
 
-Features: words, word pairs and 5-byte runs of the lower-cased text, hashed to 2**BITS places; counts are
-damped (1 + log) and weighed by the size of the place's log odds in training; word pairs and byte runs are scaled to length 1 each, words to a fixed value. Two models, for the labels ``quality`` and
-``toxic``, are trained by AdaGrad on labelled documents and calibrated (Platt) on held-out ones. A document
-is kept if no base rule fails, P(quality) >= KEEP_QUALITY and P(toxic) < DROP_TOXIC.
+Features: words, word pairs and runs of CHARS code points of the lower-cased text, hashed to 2**BITS places;
+counts are damped (1 + log) and weighed by the size of the place's log odds in training; word pairs and character
+runs are scaled to length 1 each, words to a fixed value. Two models, for the labels ``quality`` and ``toxic``, are
+trained by AdaGrad on labelled documents and calibrated (Platt) on held-out ones, in one task on an executor. A
+document is kept if no base rule fails, P(quality) >= KEEP_QUALITY and P(toxic) < DROP_TOXIC.
 
-The models are fitted on at most SAMPLE labelled documents, those of least hash of doc_id; this is the only
-bound. All documents are scored whole, in Arrow batches.
+The models are fitted on at most SAMPLE labelled documents, those of least hash of doc_id, and of those on the first
+whose features fit in SAMPLE_BYTES; these are the only bounds. All documents are scored whole, in Arrow batches.
 
 Defined results: null and empty texts have no words and fail the base rule; labels that are null, repeated
-(the smallest counts) or without a document are ignored; with fewer than MIN_LABELS labels of either value
-a model isn't fitted and passes everything; repeated rows give repeated results; a null doc_id is scored;
-other columns are ignored.
+(the smallest counts) or without a document are ignored; of labelled rows with an equal doc_id the text of least hash
+trains, once; with fewer than MIN_LABELS labels of either value a model isn't fitted and passes everything; repeated
+rows give repeated results; a null doc_id is scored; an empty table gives an empty result; texts of any length are
+scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, documents, mixed, rows_of, shingles
 
 BITS = 19
-SAMPLE = 2500
+#: Most labelled documents to train on, and most bytes of their features.
+SAMPLE, SAMPLE_BYTES = 2500, 256 << 20
+#: Code points in a character run.
+CHARS = 4
 MIN_LABELS = 8
 #: What a word counts, however long its text is: a few words of one kind can settle a long text.
 WORD_VALUE = 0.25
@@ -58,13 +63,16 @@ def base_counts(text: str | None, hashes: WordHashes) -> tuple[tuple[int, int, i
     return (n, chars, symbols, len(lines) - len(set(lines)), repeated), words
 
 
-def features(raw: bytes, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text's features; ``raw`` in lower case."""
+def features(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a text's features; ``text`` in lower case."""
+    raw = text.encode()
     words = hashes.array(re.findall(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[!-/:-@\[-`{-~]+", raw))
     families = [words, shingles(words, 2) if len(words) > 1 else words[:0]]
-    if len(raw) >= 5:
-        at = np.frombuffer(raw, np.uint8).astype(np.uint64)
-        run = at[:-4] | at[1:-3] << np.uint64(8) | at[2:-2] << np.uint64(16) | at[3:-1] << np.uint64(24) | at[4:] << np.uint64(32)
+    if len(text) >= CHARS:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        run = points[: len(points) - CHARS + 1].copy()
+        for i in range(1, CHARS):  # a code point has 21 bits, so few runs collide
+            run = (run << np.uint64(13)) + run + points[i : len(points) - CHARS + 1 + i]
         families.append(run)
     places, values = [], []
     for k, family in enumerate(families):
@@ -146,27 +154,44 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Logistic, Logistic]:
-    """The models of ``quality`` and ``toxic``; texts are turned to features on the executors."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[Logistic, Logistic]:
+    """The models of ``quality`` and ``toxic``: features are made where the texts are, one task fits both."""
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct("quality", "toxic")).alias("y"))
     # at most ``sample`` rows of three numbers
     chosen = marks.select("doc_id", F.col("y.quality").cast("int").alias("quality"), F.col("y.toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    labelled = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
+    labelled = docs.where("text is not null").join(F.broadcast(chosen), "doc_id")
+    # one text a document, whatever is repeated; copies are dropped before the shuffle too
+    single = labelled.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = [(d, q, t, *(x.tobytes() for x in features(text.lower().encode(), hashes))) for d, text, q, t in rows_of(batch)]
+            rows = [(d, q, t, *(x.tobytes() for x in features(text.lower(), hashes))) for d, q, t, text in rows_of(batch)]
             if rows:
-                a, b, c, d, e = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.binary()), pa.array(e, pa.binary())], ["doc_id", "quality", "toxic", "places", "values"])
+                kinds, names = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["doc_id", "quality", "toxic", "places", "values"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    got = labelled.mapInArrow(run, "doc_id long, quality int, toxic int, places binary, values binary").toArrow()
-    order = np.lexsort((got["doc_id"].to_numpy(), mixed(got["doc_id"].to_numpy().view(np.uint64)))) if got.num_rows else []
-    # views of Arrow's buffers: nothing is copied on the driver
-    places, values = (pa.concat_arrays(got[k].chunks) if got.num_rows else [] for k in ("places", "values"))
-    rows = [(np.frombuffer(places[i].as_buffer(), np.uint32), np.frombuffer(values[i].as_buffer(), np.float32)) for i in order]
-    return tuple(fit(rows, got[k].to_numpy()[order].astype(int) if len(rows) else np.zeros(0, int)) for k in ("quality", "toxic"))
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, marks, held = [], [], 0
+        for batch in batches:
+            for _, quality, toxic, places, values in rows_of(batch):
+                held += len(places) + len(values)
+                if held <= sample_bytes:
+                    rows.append((np.frombuffer(places, np.uint32), np.frombuffer(values, np.float32)))
+                    marks.append((quality, toxic))
+        if rows:
+            for k, label in enumerate(("quality", "toxic")):
+                m = fit(rows, np.array([x[k] for x in marks], int))
+                weights = None if m.weights is None else m.weights.astype(np.float16).tobytes()
+                kinds, names = [pa.string(), pa.binary(), *[pa.float64()] * 3], ["label", "weights", "bias", "slope", "shift"]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((label, weights, m.bias, m.slope, m.shift), kinds)], names)
+
+    made = single.mapInArrow(run, "doc_id long, quality int, toxic int, places binary, values binary")
+    # at most ``sample`` rows meet in this task
+    together = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    got = {r.label: r for r in together.mapInArrow(fitted, "label string, weights binary, bias double, slope double, shift double").collect()}
+    own = lambda r: Logistic(None if r.weights is None else np.frombuffer(r.weights, np.float16), r.bias, r.slope, r.shift)
+    return tuple(own(got[k]) if k in got else Logistic(None) for k in ("quality", "toxic"))
 
 
 class Judge:
@@ -174,12 +199,12 @@ class Judge:
 
     def __init__(self, models: list[tuple]):
         self.good, self.toxic = (Logistic(None if w is None else w.astype(np.float32), *rest) for w, *rest in models)
-        self.hashes, self.lower = WordHashes(), WordHashes()
+        self.hashes, self.lower = WordHashes(100_000), WordHashes(100_000)
 
     def __call__(self, text: str | None) -> tuple:
         (n, chars, symbols, dup, repeated), _ = base_counts(text, self.hashes)
         failed = n < 50 or 100 * repeated > 50 * n
-        places, values = features((text or "").lower().encode(), self.lower)
+        places, values = features((text or "").lower(), self.lower)
         p, q = self.good.probability(places, values, 1.0), self.toxic.probability(places, values, 0.0)
         return n, chars, symbols, dup, repeated, failed, not failed and p >= KEEP_QUALITY and q < DROP_TOXIC, p, q
 
@@ -187,7 +212,7 @@ class Judge:
 def _models(docs: DataFrame, labels: DataFrame, sample: int):
     """A broadcast of both models: 2**BITS half-precision weights each."""
     models = train(docs, labels, sample)
-    return docs.sparkSession.sparkContext.broadcast([(None if m.weights is None else m.weights.astype(np.float16), m.bias, m.slope, m.shift) for m in models])
+    return docs.sparkSession.sparkContext.broadcast([(m.weights, m.bias, m.slope, m.shift) for m in models])
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
