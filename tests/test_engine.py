@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.re2 import accepted
 from tidemark.functions.variant import fnv1a
 from tidemark.operators import admission, filters, index, lww, migrate, partition, placement, query, replicas
 from tidemark.sources import log as source
+from tidemark.sources import records
 from tidemark.streaming import feed
 
 DOC = {"age": 30, "name": "alice", "tags": ["a"], "score": 9.5}
@@ -156,6 +158,49 @@ def test_retype_table(spark):
         migrate.validate([one], 1, [one, one])
 
 
+VALUES = [
+    ("float", "3.5", 3.5), ("float", True, 1), ("float", "x", "x"), ("int", "42", 42), ("int", 7.9, 7), ("int", -7.9, -7), ("int", True, True), ("int", "abc", "abc"), ("string", 9, "9"), ("string", False, "false"),
+    ("string", 1234567.5, "1.2345675e+06"), ("string", 0.00025, "0.00025"), ("string", -1.5e-7, "-1.5e-07"), ("string", 123.25, "123.25"), ("bool", "true", True), ("bool", "yes", "yes"), ("bool", 0, False), ("bool", None, None), ("int", [1], [1]),
+]
+
+
+def test_retype_of_variants_keeps_what_it_cannot_convert(spark):
+    rows = spark.createDataFrame([(i, json.dumps({"v": v})) for i, (_, v, _) in enumerate(VALUES)], "n int, j string").select("n", F.parse_json("j").alias("fields"))
+    for target in migrate.TARGETS:
+        got = {r.n: json.loads(r.j) for r in migrate.read(rows, [migrate.Transform("retype", "v", target)]).select("n", F.to_json("fields").alias("j")).collect()}
+        for i, (t, v, want) in enumerate(VALUES):
+            if t == target:
+                assert got[i] == {"v": want, "_schema_ver": 1} and type(got[i]["v"]) is type(want), (t, v)
+
+
+def test_variant_documents_are_migrated_from_their_version(spark):
+    rows = [("u1", '{"city":"Lisbon","age":"42"}'), ("u2", '{"town":"Porto","age":30,"_schema_ver":2}'), ("u3", "[1]"), ("u4", None), ("u5", '{"city":"x","town":"y"}'), ("u6", '{"city":"z","_schema_ver":1}')]
+    df = spark.createDataFrame(rows, "id string, j string").select("id", F.parse_json("j").alias("fields"))
+    rules = [migrate.Transform("rename", "city", "town"), migrate.Transform("retype", "age", "int")]
+    got = {r.id: r.j and json.loads(r.j) for r in migrate.read(df, rules).select("id", F.to_json("fields").alias("j")).collect()}
+    assert got == {"u1": {"town": "Lisbon", "age": 42, "_schema_ver": 2}, "u2": {"town": "Porto", "age": 30, "_schema_ver": 2}, "u3": [1], "u4": None, "u5": {"town": "x", "_schema_ver": 2}, "u6": {"city": "z", "_schema_ver": 2}}
+    assert [r.id for r in query.find(df, {"age": {"$gte": 30}}, sort="age", schema=rules).collect()] == ["u2", "u1"]
+    again = migrate.read(migrate.read(df, rules), rules)
+    assert {r.id: r.j and json.loads(r.j) for r in again.select("id", F.to_json("fields").alias("j")).collect()} == got
+    with pytest.raises(ValueError):
+        migrate.apply(df, rules)
+
+
+@pytest.mark.parametrize("pattern", ["[", "(", "a**", "a{2}{3}", "*a", "(?=a)", "(?<!a)", r"\1", r"\k<a>", "(?P<a>x)(?P<a>y)", "x{1001}", "a{3,2}", r"\Z", r"\p{Nope}", "[[:nope:]]", "[z-a]", "(?x)a", "a)", r"\x{110000}", 5, "(?#c)"])
+def test_patterns_that_are_refused(spark, pattern):
+    assert accepted(spark, pattern) is None
+
+
+@pytest.mark.parametrize("pattern", [r"(?P<n_1>a)b", r"\p{Lu}", r"\pN+", "a(?i)B", "(?i:a)B", "[[:alpha:]]+[^[:digit:]]", "[]a]x", "a{,2}", "a$", "(?m)^b$", r"\bfoo\b", r"\Bo", "[a&&b]", r"[\w.-]+@", r"a\Q.*\E", "(?s)a.b", "a.b", "a|", "(?U)a+?", r"\s\d", r"\x{e9}", r"\p{Greek}", "[^\\s]", "#[a-f]", "[-a]b", "[a-]b", r"\07"])
+def test_patterns_match_as_in_the_linear_engine(spark, pattern):
+    import duckdb
+
+    texts = ["ab", "aB", "AB", "a\nb", "b\n", "a\n", "a", "", "foo bar", "food", "é 1", "α", "]x", "a{,2}", "&b", "x@y", "a.*", "٣", "#c", "-b", "a-b", "\x07", "a\r", "\x0b1", " 7", "Éa"]
+    java = accepted(spark, pattern)
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string").orderBy("n").select(F.col("t").rlike(java)).collect()]
+    assert got == [duckdb.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in texts]
+
+
 def test_partition_ids(spark):
     df = spark.createDataFrame([("alice|001|x", "alice"), ("bob", "bob"), ("bob|2", "eve"), ("z|1", None)], "id string, user string")
     assert [r[0] for r in df.select(partition.sort_part(F.col("id"))).collect()] == ["001|x", "", "2", ""[:0] or "1"]
@@ -202,10 +247,93 @@ def test_ring_and_plans(spark):
     assert ranges[0].start == 0 and ranges[-1].end == 0 and all(x.end == y.start for x, y in zip(ranges, ranges[1:])) and all(len(set(r.owners)) == 2 for r in ranges)
     again = placement.plan(nodes, 2, [x * 1.03 for x in load], ring, ranges)
     assert placement.movements(ranges, again) == 0 and placement.plan(nodes, 2, [0.0] * 256, ring) is None
+    assert placement.movements(None, ranges) == len(ranges) and placement.plan(["n1"], 2, load, ring) is None and placement.plan(nodes, 0, load, ring) is None
     low, high = placement.split_range(ranges[0], ranges[0].start + 1)
     assert placement.merge_ranges(low, high) == ranges[0]
 
 
+def test_plan_sheds_what_is_above_the_band():
+    nodes, ring = ["a", "b", "c"], placement.Ring.build(["a", "b", "c"])
+    load = [0.5] * 256
+    load[10], load[200] = 200.0, 150.0
+    fresh = placement.plan(nodes, 2, load, ring)
+    assert placement.movements(fresh, placement.plan(nodes, 2, load, ring, fresh)) == 0
+    assert len({r.owners[0] for r in fresh if r.load > 50}) >= 2
+    # a node leaves: only its ranges move
+    after = placement.plan(["a", "b"], 2, load, placement.Ring.build(["a", "b"]), fresh)
+    old = {r.start: r.owners[0] for r in fresh}
+    assert all(old[r.start] == r.owners[0] for r in after if old.get(r.start) in ("a", "b") and r.load > 50)
+    # all on one node before: the largest ranges leave it until it is inside the band
+    even = [1.0] * 256
+    one = [placement.Range(0, 0, ["a"], 256.0)]
+    held = {}
+    for r in placement.plan(nodes, 1, even, ring, one):
+        held[r.owners[0]] = held.get(r.owners[0], 0) + r.load
+    fair = sum(even) / 3
+    assert set(held) == set(nodes) and max(held.values()) <= placement.BAND * fair + max(r.load for r in placement.plan(nodes, 1, even, ring, one))
+    # replicas follow the ring's owners of the range's start
+    for r in fresh:
+        assert r.owners[1] == next(n for n in ring.owners(f"rng/{r.start}", 6) if n != r.owners[0])
+
+
+def test_planned_rows_match_single_keys(spark):
+    nodes, ring = ["a", "b", "c"], placement.Ring.build(["a", "b", "c"])
+    load = [1.0] * 256
+    load[7] = 90.0
+    ranges = placement.plan(nodes, 2, load, ring)[1:]  # a gap at the start
+    keys = spark.range(300).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    for epoch in (1, 2):
+        for r in placement.place_planned(keys, ranges, 1, epoch, ring, F.col("k"), 2).collect():
+            assert r.owners == placement.placement(ranges, 1, epoch, ring, r.k, 2)
+
+
+def test_remote_records_are_read_page_by_page(spark):
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    held = [{"collection": "c", "id": f"d{i:02d}", "ver": 1 + i % 2, "ts": i, "deleted": i == 4, "fields": None if i == 4 else {"i": i}} for i in range(11)]
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urllib.parse.urlparse(self.path)
+            asked = dict(urllib.parse.parse_qsl(at.query, keep_blank_values=True))
+            page = [r for r in held if r["id"] > asked["after"]][: int(asked["limit"])] if at.path == "/internal/record/c/scan" else []
+            body = json.dumps({"records": page, "epoch": 7}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spark.dataSource.register(records.RecordSource)
+    url = f"http://127.0.0.1:{server.server_port}"
+    rows = spark.read.format("records").option("urls", f"{url}, {url}").option("collection", "c").option("page", "4").load()
+    got = rows.collect()
+    assert len(got) == 22 and {(r.id, r.ver, r.deleted, r.epoch) for r in got} == {(r["id"], r["ver"], r["deleted"], 7) for r in held}
+    assert query.find(rows.dropDuplicates(["id"]).withColumn("fields", F.parse_json("fields")), {"i": {"$gt": 8}}).count() == 2
+    assert spark.read.format("records").option("url", url).option("collection", "none").load().count() == 0
+    server.shutdown()
+
+
+def test_reopened_feed_keeps_its_head(spark):
+    rows = spark.createDataFrame([(i, i, "c", "x", "upsert", None) for i in range(1, 11)], feed.EVENT)
+    got = feed.reopened(rows, 10, 3, 100).collect()
+    assert sorted(r.seq for r in got) == [8, 9, 10] and {r.head for r in got} == {10}
+    assert source.archive_name("/a/log/", 1_600_000_000_123) == "/a/log-20200913T122640123"
+
+
+def test_hints_come_due_and_wait_longer(spark):
+    hints = spark.createDataFrame([("n1", 1, 5), ("n1", 9, 50), ("n2", 0, 7)], "target string, attempts int, next_retry long")
+    due = admission.due_hints(hints, 7)
+    assert sorted(r.next_retry for r in due.collect()) == [5, 7]
+    assert sorted((r.attempts, r.next_retry) for r in admission.reschedule(due, 100).collect()) == [(1, 100 + 2000), (2, 100 + 4000)]
+    assert {r.target: r.pending for r in admission.hint_stats(hints).collect()} == {"n1": 2, "n2": 1}
+
+
 def test_rate_limit_and_idempotency(spark):
     rows = spark.createDataFrame([(i, "t", i * 100) for i in range(10)] + [(50, "u", 0), (51, "u", 10_000)], "n long, k string, at long")
     allowed = {r.n: r.allowed for r in admission.rate_limit(rows, "k", "at", "n", rps=1, burst=3).collect()}

@@ -26,16 +26,22 @@ def kind(doc: Column, field: str) -> Column:
     )
 
 
+def _typed(doc: Column, field: str, wanted: str, type_: str) -> Column:
+    """The field if it is of that kind. The kind is asked only where the field can be read so."""
+    got = F.try_variant_get(doc, path(field), type_)
+    return F.when(got.isNotNull() & (kind(doc, field) == wanted), got)
+
+
 def number(doc: Column, field: str) -> Column:
-    return F.when(kind(doc, field) == "number", F.try_variant_get(doc, path(field), "double"))
+    return _typed(doc, field, "number", "double")
 
 
 def string(doc: Column, field: str) -> Column:
-    return F.when(kind(doc, field) == "string", F.try_variant_get(doc, path(field), "string"))
+    return _typed(doc, field, "string", "string")
 
 
 def boolean(doc: Column, field: str) -> Column:
-    return F.when(kind(doc, field) == "boolean", F.try_variant_get(doc, path(field), "boolean"))
+    return _typed(doc, field, "boolean", "boolean")
 
 
 def canonical(literal) -> str:

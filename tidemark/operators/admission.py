@@ -36,6 +36,12 @@ def tenant_usage(current: DataFrame, tenants: DataFrame) -> DataFrame:
     return tenants.join(used, "name", "left").select("name", F.coalesce("used", F.lit(0)).alias("used"), "max_docs", (F.coalesce("used", F.lit(0)) <= F.col("max_docs")).alias("within"))
 
 
+def tenant_admission(current: DataFrame, tenants: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(name, used, delta, admitted): whether so many more live documents (name, delta) stay in a tenant's limit; 0 or less is none."""
+    usage = tenant_usage(current, tenants).select("name", "used", "max_docs")
+    return usage.join(deltas.groupBy("name").agg(F.sum("delta").alias("delta")), "name").select("name", "used", "delta", ((F.col("max_docs") <= 0) | (F.col("used") + F.col("delta") <= F.col("max_docs"))).alias("admitted"))
+
+
 def fence(records: DataFrame, order: str, by: list[str]) -> DataFrame:
     """Adds ``accepted``: not behind the greatest epoch seen before."""
     seen = F.max("epoch").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

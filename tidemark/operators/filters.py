@@ -7,15 +7,15 @@ typed columns of a columnar collection (filters reach the parquet scan) and fiel
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import variant as V
+from ..functions.re2 import accepted
 
 COMPARE = {"$gt": "__gt__", "$lt": "__lt__", "$gte": "__ge__", "$lte": "__le__"}
 
@@ -52,15 +52,14 @@ def kind_of(literal: Any) -> str:
     return {int: "number", float: "number", str: "string", list: "array", dict: "object"}[type(literal)]
 
 
-def valid_regex(pattern: Any) -> bool:
-    """Whether a linear-time engine would take the pattern: no look-around, no back references."""
-    if not isinstance(pattern, str) or re.search(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|[*+?}]\+", pattern):
-        return False
-    try:
-        re.compile(pattern)
-        return True
-    except re.error:
-        return False
+def quoted(field: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + field.replace("`", "``") + "`")
+
+
+def plain(literal: Any) -> Any:
+    """A literal as Spark can hold it: whole numbers beyond 64 bits are doubles."""
+    return float(literal) if isinstance(literal, int) and not isinstance(literal, bool) and not -(1 << 63) <= literal < 1 << 63 else literal
 
 
 class Columnar:
@@ -76,7 +75,7 @@ class Columnar:
         return {T.StringType: "string", T.BooleanType: "boolean", T.ArrayType: "array", T.StructType: "object", T.MapType: "object"}.get(type(t))
 
     def missing(self, field: str) -> Column:
-        return F.col(field).isNull() if field in self.types else F.lit(True)
+        return quoted(field).isNull() if field in self.types else F.lit(True)
 
     absent = missing
 
@@ -84,19 +83,19 @@ class Columnar:
         if kind_of(literal) != self.kind(field):
             return F.lit(False)
         if kind_of(literal) in ("array", "object"):
-            return F.to_json(F.col(field)) == V.canonical(literal)
-        return F.col(field) == F.lit(literal)
+            return F.to_json(quoted(field)) == V.canonical(literal)
+        return quoted(field) == F.lit(plain(literal))
 
     def compare(self, field: str, op: str, literal: Any) -> Column:
         if self.kind(field) not in ("number", "string") or kind_of(literal) != self.kind(field):
             return F.lit(False)
-        return getattr(F.col(field), COMPARE[op])(F.lit(literal))
+        return getattr(quoted(field), COMPARE[op])(F.lit(plain(literal)))
 
     def matches(self, field: str, pattern: str) -> Column:
-        return F.col(field).rlike(pattern) if self.kind(field) == "string" else F.lit(False)
+        return quoted(field).rlike(pattern) if self.kind(field) == "string" else F.lit(False)
 
     def text(self, field: str) -> Column:
-        return F.col(field).cast("string") if field in self.types else F.lit(None).cast("string")
+        return quoted(field).cast("string") if field in self.types else F.lit(None).cast("string")
 
 
 class Variant:
@@ -149,7 +148,7 @@ def condition(backend, c: Condition) -> Column:
             return F.lit(False)
         kinds = {kind_of(x) for x in c.operand}
         if isinstance(backend, Columnar) and kinds == {backend.kind(c.field)} and kinds & {"number", "string"}:
-            return F.col(c.field).isin(c.operand)  # one predicate, which parquet can take
+            return quoted(c.field).isin([plain(x) for x in c.operand])  # one predicate, which parquet can take
         out = F.lit(False)
         for x in c.operand:
             out = out | F.coalesce(_equal(backend, c.field, x), F.lit(False))
@@ -157,7 +156,8 @@ def condition(backend, c: Condition) -> Column:
     if c.op == "$exists":
         return ~backend.absent(c.field) if c.operand is True else backend.absent(c.field)
     if c.op == "$regex":
-        return backend.matches(c.field, c.operand) if valid_regex(c.operand) else F.lit(False)
+        java = accepted(SparkSession.getActiveSession(), c.operand)
+        return F.lit(False) if java is None else backend.matches(c.field, java)
     return F.lit(False)
 
 
@@ -179,7 +179,7 @@ def stringly(wanted: dict, backend) -> Column:
 
 def in_range(field: str, low: float | None, high: float | None, backend) -> Column:
     """Numbers within [low, high]; open ends are None."""
-    number = F.col(field).cast("double") if isinstance(backend, Columnar) and backend.kind(field) == "number" else V.number(backend.doc, field) if isinstance(backend, Variant) else F.lit(None).cast("double")
+    number = quoted(field).cast("double") if isinstance(backend, Columnar) and backend.kind(field) == "number" else V.number(backend.doc, field) if isinstance(backend, Variant) else F.lit(None).cast("double")
     out = number.isNotNull()
     if low is not None:
         out = out & (number >= low)

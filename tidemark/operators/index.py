@@ -56,6 +56,26 @@ def checked_definition(name: str, field: str) -> tuple[str, str]:
     return name, field
 
 
+DEFINITION = "collection string, name string, field string"
+
+
+def declare(definitions: DataFrame, collection: str, name: str, field: str) -> DataFrame:
+    """The table of index definitions with one more, or with that name's field replaced."""
+    name, field = checked_definition(name, field)
+    new = definitions.sparkSession.createDataFrame([(collection, name, field)], DEFINITION)
+    return definitions.where((F.col("collection") != collection) | (F.col("name") != name)).select("collection", "name", "field").unionAll(new)
+
+
+def definitions_of(definitions: DataFrame, collection: str) -> DataFrame:
+    return definitions.where(F.col("collection") == collection).select("name", "field").orderBy("name")
+
+
+def backfill(current: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Rows (name, value, collection, id) of every declared index over live VARIANT documents. Definitions are a small table that users write."""
+    entries = variant_entries(current)
+    return entries.join(definitions.select("collection", "field", "name"), ["collection", "field"]).select("name", "value", "collection", "id")
+
+
 def secondary(current: DataFrame, name: str, field: Column) -> DataFrame:
     """Rows (name, value, collection, id) of one secondary index over live documents; its count is the backfill's."""
     live = current.where(~F.col("deleted"))

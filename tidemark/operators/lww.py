@@ -29,6 +29,35 @@ def would_change(log: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(own, KEY, "left").withColumn("changes", newer).drop("_ver", "_ts")
 
 
+def applied(log: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
+    """The rows of ``incoming``, applied in order, that change their document: newer than the log and than all before them.
+
+    Appending them to the log is a replicated apply; a row that is applied again, or an older one, isn't among them.
+    """
+    version = F.struct("ver", "ts")
+    before = F.max(version).over(Window.partitionBy(*KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    first = incoming.withColumn("_before", before).where(F.col("_before").isNull() | (version > F.col("_before"))).drop("_before")
+    return would_change(log, first).where("changes").drop("changes")
+
+
+def sync(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two-way anti-entropy of two current states: (to, collection, id, ver, ts, deleted), what each side has to apply.
+
+    After that both hold the newest version of every document. Equal (ver, ts) are left as they are, as by any apply.
+    """
+    row = F.struct("ver", "ts", "deleted")
+    both = left.select(*KEY, row.alias("l")).join(right.select(*KEY, row.alias("r")), KEY, "full_outer")
+    newer = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.struct(f"{a}.ver", f"{a}.ts") > F.struct(f"{b}.ver", f"{b}.ts")))
+    moved = both.withColumn("to", F.when(newer("l", "r"), "right").when(newer("r", "l"), "left")).where("to is not null")
+    sent = F.when(F.col("to") == "right", F.col("l")).otherwise(F.col("r"))
+    return moved.select("to", *KEY, sent.alias("d")).select("to", *KEY, "d.ver", "d.ts", "d.deleted")
+
+
+def bootstrap(own: DataFrame, peer: DataFrame) -> DataFrame:
+    """The state of a node that copies a peer's documents, tombstones too: what it has already stays where it is newer."""
+    return lww(own.select(*peer.columns).unionAll(peer))
+
+
 def compact(log: DataFrame, now: int, gc_window: int, position: str | None = None) -> DataFrame:
     """Current versions without tombstones of ``now - gc_window`` or before."""
     return lww(log, position).where(~(F.col("deleted") & (F.col("ts") <= now - gc_window)))

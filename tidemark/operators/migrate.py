@@ -56,8 +56,13 @@ def retype(c: Column, kind: T.DataType, target: str) -> Column:
 
 
 def apply(df: DataFrame, transforms: list[Transform], version: Column | None = None) -> DataFrame:
-    """Run the transforms that each row lacks and stamp the version. ``version``: the row's, 0 if NULL or not given."""
+    """Run the transforms that each row lacks and stamp the version. ``version``: the row's, 0 if NULL or not given.
+
+    For typed columns: a retype that can't be done gives NULL. Documents in one VARIANT column go through ``read``.
+    """
     validate(transforms)
+    if dict(df.dtypes).get("fields") == "variant":
+        raise ValueError("documents are VARIANT: use read()")
     mixed = version is not None
     out = df.withColumn("_from", F.coalesce(version, F.lit(0))) if mixed else df
     for i, t in enumerate(transforms):
@@ -77,3 +82,81 @@ def apply(df: DataFrame, transforms: list[Transform], version: Column | None = N
             out = out.withColumn(t.target, moved)
             out = out.withColumn(t.source, F.when(~due, F.col(t.source))) if mixed else out.drop(t.source)
     return out.drop("_from").withColumn(MARK, F.lit(len(transforms)))
+
+
+def read(df: DataFrame, transforms: list[Transform]) -> DataFrame:
+    """Documents as the schema has them, however old they are: VARIANT documents each from their own version on, or typed columns."""
+    if dict(df.dtypes).get("fields") != "variant":
+        return apply(df, transforms)
+    validate(transforms)
+    return df.withColumn("fields", migrated(F.col("fields"), transforms))
+
+
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _with(m: Column, key: str, value: Column, *without: str) -> Column:
+    """The map with ``key`` set, and without some others."""
+    return F.map_concat(F.map_filter(m, lambda k, _: ~k.isin(key, *without)), F.create_map(F.lit(key), value))
+
+
+def migrated(doc: Column, transforms: list[Transform]) -> Column:
+    """A VARIANT object after the transforms from its version on, with the version set; others and up-to-date ones as they are."""
+    own = F.coalesce(F.try_variant_get(doc, f"$.{MARK}", "double").cast("int"), F.lit(0))
+    fields = doc.try_cast("map<string,variant>")
+
+    def step(m: Column, i: int, t: Transform) -> Column:
+        if t.op == "drop":
+            new = F.map_filter(m, lambda k, _: k != t.source)
+        elif t.op == "rename":
+            new = _with(m, t.target, m[t.source], t.source)
+        else:
+            new = _bound(retyped(m[t.source], t.target), lambda v: F.when(v.isNull(), m).otherwise(_with(m, t.source, v)))
+        return F.when((own <= i) & F.map_contains_key(m, F.lit(t.source)), new).otherwise(m)
+
+    for i, t in enumerate(transforms):
+        fields = _bound(fields, lambda m: step(m, i, t))  # called at once
+    stamped = F.to_variant_object(_with(fields, MARK, F.lit(len(transforms)).cast("variant")))
+    return F.when(fields.isNull() | (own >= len(transforms)), doc).otherwise(stamped)
+
+
+def _as_number(x: Column) -> Column:
+    """A number as JSON has it: whole ones without a point."""
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1 << 53), x.cast("long").cast("variant")).otherwise(x.cast("variant"))
+
+
+def number_text(x: Column) -> Column:
+    """Whole numbers in full; others by the fewest digits, with an exponent below -4 and from 6 on."""
+    size = F.abs(x).cast("string")
+    # mantissa and exponent, whichever way Spark writes the number
+    point = F.instr(F.concat(size, F.lit(".")), ".")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(size, "E.*", ""), "[.]", ""), "^0+", "")
+    exponent = F.when(F.instr(size, "E") > 0, F.regexp_extract(size, "E(-?[0-9]+)", 1).cast("int")).when(F.abs(x) >= 1, point - 2).otherwise(-F.length(F.regexp_extract(size, "[.](0*)", 1)) - 1)
+    digits = F.regexp_replace(digits, "0+$", "")
+    sign = F.when(x < 0, "-").otherwise("")
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    middle = F.concat(sign, F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits)))
+    with_exponent = F.concat(sign, F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    whole = (x == F.floor(x)) & (F.abs(x) < 2.0**63)
+    return F.when(whole, x.cast("long").cast("string")).when((exponent < -4) | (exponent >= 6), with_exponent).when(exponent < 0, small).otherwise(middle)
+
+
+def retyped(v: Column, target: str) -> Column:
+    """A VARIANT value in another type; NULL if it can't be."""
+    name = F.schema_of_variant(v)
+    is_text, is_truth = name == "STRING", name == "BOOLEAN"
+    is_number = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+    text, truth, number = (F.try_variant_get(v, "$", t) for t in ("string", "boolean", "double"))
+    if target == "float":
+        read_ = retype(text, T.StringType(), "float")
+        return F.when(is_number, v).when(is_text & read_.isNotNull(), _as_number(read_)).when(is_truth, truth.cast("int").cast("variant"))
+    if target == "int":
+        read_ = retype(text, T.StringType(), "int")
+        cut = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("double")
+        return F.when(is_number, _as_number(cut)).when(is_text & read_.isNotNull(), read_.cast("variant"))
+    if target == "string":
+        return F.when(is_text, v).when(is_number, number_text(number).cast("variant")).when(is_truth, truth.cast("string").cast("variant"))
+    return F.when(is_truth, v).when(is_number, (number != 0).cast("variant")).when(is_text & text.isin("true", "1"), F.lit(True).cast("variant")).when(is_text & text.isin("false", "0"), F.lit(False).cast("variant"))

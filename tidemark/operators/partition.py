@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import migrate
+
 
 def partition_part(id: Column) -> Column:
     return F.substring_index(id, "|", 1)
@@ -15,14 +17,15 @@ def sort_part(id: Column) -> Column:
     return F.when(F.instr(id, "|") > 0, F.substring(id, F.instr(id, "|") + 1, F.char_length(id))).otherwise(F.lit(""))
 
 
-def range_query(df: DataFrame, pk, *, partition: Column, sort: Column, gte: str | None = None, lte: str | None = None, gt: str | None = None, lt: str | None = None, desc: bool = False, limit: int = 0) -> DataFrame:
+def range_query(df: DataFrame, pk, *, partition: Column, sort: Column, gte: str | None = None, lte: str | None = None, gt: str | None = None, lt: str | None = None, desc: bool = False, limit: int = 0, schema: list[migrate.Transform] | None = None) -> DataFrame:
     """Documents of one partition within string bounds of the sort part, in its order. A limit of 0 is none."""
     out = df.where(partition == F.lit(pk))
     for bound, op in ((gte, "__ge__"), (lte, "__le__"), (gt, "__gt__"), (lt, "__lt__")):
         if bound is not None:
             out = out.where(getattr(sort, op)(F.lit(bound)))
     out = out.orderBy(sort.desc() if desc else sort.asc())
-    return out.limit(limit) if limit else out
+    out = out.limit(limit) if limit else out
+    return migrate.read(out, schema) if schema else out
 
 
 def check_ids(docs: DataFrame, partition_field: str) -> DataFrame:

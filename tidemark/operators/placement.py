@@ -89,12 +89,17 @@ def load_buckets(df: DataFrame, key: Column) -> DataFrame:
 
 
 def ewma(df: DataFrame, time: Column, by: list[str], interval: int, keep: float = 0.7) -> DataFrame:
-    """Rate per key after the last tick, folded over all ticks from the key's first; ticks without writes decay it."""
+    """Writes a second per key after the last tick (``interval`` in milliseconds), folded over all ticks; ticks without writes decay it."""
     ticks = df.withColumn("tick", F.floor(time / interval)).groupBy(*by, "tick").agg(F.count("*").alias("n"))
     # a tick's writes count (1 - keep) of their rate, and keep of that after each later tick, with or without
     # writes; so the fold is a weighted sum, which tasks add up before the shuffle
     aged = ticks.crossJoin(F.broadcast(ticks.agg(F.max("tick").alias("last"))))  # one row
-    return aged.groupBy(*by).agg(F.sum((1 - keep) * F.col("n") / interval * F.pow(F.lit(keep), F.col("last") - F.col("tick"))).alias("rate"))
+    return aged.groupBy(*by).agg(F.sum((1 - keep) * F.col("n") / (interval / 1000) * F.pow(F.lit(keep), F.col("last") - F.col("tick"))).alias("rate"))
+
+
+def cluster_load(rates: DataFrame) -> DataFrame:
+    """Writes a second per bucket over all nodes, from each node's (node, bucket, rate); nodes that told nothing are left out."""
+    return rates.groupBy("bucket").agg(F.sum("rate").alias("rate"))
 
 
 @dataclass(frozen=True)
@@ -119,25 +124,44 @@ def _split(low: int, high: int, load: list[float], fair: float, depth: int) -> l
     return _split(low, cut, load, fair, depth - 1) + _split(cut, high, load, fair, depth - 1)
 
 
+def primary_before(previous: list[Range] | None, at: int) -> str | None:
+    return next((r.owners[0] for r in previous or [] if r.owners and r.start <= at < (r.end or SPACE)), None)
+
+
 def plan(nodes: list[str], rf: int, load: list[float], base: Ring, previous: list[Range] | None = None) -> list[Range] | None:
     """Ranges with owners: heaviest first, to the previous primary while that stays within 1.1 of the fair share, else the coolest.
 
-    None without load. Replicas follow the base ring.
+    Then the hottest node gives its largest range that helps to the coolest one, while it is above that band.
+    None without load, or if all of it is one node's fair share. Replicas follow the base ring's owners of the range's start.
     """
     total = sum(load)
-    if not nodes or total <= 0:
+    if not nodes or rf <= 0 or total <= 0:
         return None
     fair, nodes = total / len(nodes), sorted(nodes)
-    ranges = _split(0, BUCKETS, load, fair, MAX_RANGES.bit_length() - 1)
+    if total <= fair:
+        return None
+    ranges = sorted(_split(0, BUCKETS, load, fair, (MAX_RANGES - 1).bit_length()), key=lambda r: (-r.load, r.start))
     held, given = dict.fromkeys(nodes, 0.0), {}
-    for r in sorted(ranges, key=lambda r: (-r.load, r.start)):
-        before = next((p.owners[0] for p in previous or [] if p.owners and p.start <= r.start < (p.end or SPACE)), None)
-        node = before if before in held and held[before] + r.load <= BAND * fair else min(nodes, key=lambda n: (held[n], n))
+    coolest = lambda: min(nodes, key=lambda n: (held[n], n))
+    for r in ranges:
+        before = primary_before(previous, r.start)
+        node = before if before in held and held[before] + r.load <= BAND * fair else coolest()
         held[node] += r.load
         given[r.start] = node
+    for _ in range(2 * len(ranges)):
+        hot, cool = min(nodes, key=lambda n: (-held[n], n)), coolest()
+        if hot == cool or held[hot] <= BAND * fair:
+            break
+        movable = [r for r in ranges if given[r.start] == hot and r.load > 0 and held[cool] + r.load < held[hot]]
+        if not movable:
+            break
+        largest = movable[0]  # they are in order of load
+        given[largest.start] = cool
+        held[hot] -= largest.load
+        held[cool] += largest.load
     out = []
-    for r in ranges:
-        others = [n for n in base.owners_at(bisect_left(base.tokens, r.start) % len(base.tokens), len(nodes)) if n != given[r.start]]
+    for r in sorted(ranges, key=lambda r: r.start):
+        others = [n for n in base.owners(f"rng/{r.start}", 3 * rf) if n != given[r.start]]
         out.append(replace(r, owners=[given[r.start], *others[: rf - 1]]))
     return out
 
@@ -151,6 +175,18 @@ def placement(ranges: list[Range] | None, plan_epoch: int, epoch: int, ring: Rin
     return (plan_owners(ranges, token(key), n) if ranges and plan_epoch >= epoch else []) or ring.owners(key, n)
 
 
+def place_planned(df: DataFrame, ranges: list[Range] | None, plan_epoch: int, epoch: int, ring: Ring, key: Column, n: int) -> DataFrame:
+    """``placement`` of every row: ``token`` and ``owners``, the plan's where it has the token and isn't out of date, else the ring's."""
+    placed = place(df, ring, key, n)
+    if not ranges or plan_epoch < epoch:
+        return placed
+    # at most MAX_RANGES rows; a range ends where the next begins, but for gaps
+    rows = [(r.start, (r.end or SPACE) - 1, r.owners[:n]) for r in ranges if r.owners]
+    table = df.sparkSession.createDataFrame(rows, "_low long, _high long, _planned array<string>")
+    on = (placed["token"] >= table["_low"]) & (placed["token"] <= table["_high"])
+    return placed.join(F.broadcast(table), on, "left").withColumn("owners", F.coalesce("_planned", "owners")).drop("_low", "_high", "_planned")
+
+
 def split_range(r: Range, at: int) -> tuple[Range, Range]:
     if not r.start < at < (r.end or SPACE):
         raise ValueError("the cut lies outside the range")
@@ -163,6 +199,6 @@ def merge_ranges(a: Range, b: Range) -> Range:
     return replace(a, end=b.end, load=a.load + b.load)
 
 
-def movements(before: list[Range], after: list[Range]) -> int:
-    """Buckets whose primary changes."""
-    return sum(plan_owners(before, b << 24, 1) != plan_owners(after, b << 24, 1) for b in range(BUCKETS))
+def movements(before: list[Range] | None, after: list[Range] | None) -> int:
+    """Ranges of the new plan whose primary isn't the one that had their start before; a range that had none counts."""
+    return sum(primary_before(before, r.start) != r.owners[0] for r in after or [] if r.owners)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import Columnar, Variant, compile_filter, stringly
+from . import migrate
+from .filters import Columnar, Condition, Variant, compile_filter, parse, quoted, stringly
 
 
 def backend_of(df: DataFrame):
@@ -19,8 +20,18 @@ def _checked(name: str, n: int | None) -> int | None:
     return n
 
 
-def find(df: DataFrame, filter: str | dict | None = None, *, sort: str | None = None, desc: bool = False, limit: int | None = None, offset: int | None = None, id: str | Column = "id") -> DataFrame:
-    """Matching documents. Missing values sort last, and first if descending; ties go by id; without sort, by id."""
+def find(df: DataFrame, filter: str | dict | None = None, *, sort: str | None = None, desc: bool = False, limit: int | None = None, offset: int | None = None, id: str | Column = "id", schema: list[migrate.Transform] | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Matching documents. Missing values sort last, and first if descending; ties go by id; without sort, by id.
+
+    ``schema``: transforms that documents get before they are filtered and sorted. ``index``: entries (id, field, value)
+    of the collection's inverted index; a filter of one equality then reads only the documents that it names.
+    """
+    if index is not None and schema is None and (wanted := indexed(filter)):
+        from .index import lookup
+
+        df = df.join(lookup(index, *wanted).withColumnRenamed("id", "_id"), (F.col(id) if isinstance(id, str) else id) == F.col("_id"), "left_semi")
+    if schema:
+        df = migrate.read(df, schema)
     _checked("limit", limit), _checked("offset", offset)
     key = F.col(id) if isinstance(id, str) else id
     out = df.where(compile_filter(filter, backend_of(df)))
@@ -33,13 +44,23 @@ def find(df: DataFrame, filter: str | dict | None = None, *, sort: str | None =
         parts = [f(backend.doc, sort) for f in (V.number, V.string, V.boolean)]
         order = [*(p.desc_nulls_first() if desc else p.asc_nulls_last() for p in parts), key.asc()]
     else:
-        order = [F.col(sort).desc_nulls_first() if desc else F.col(sort).asc_nulls_last(), key.asc()] if sort in df.columns else [key.asc()]
+        order = [quoted(sort).desc_nulls_first() if desc else quoted(sort).asc_nulls_last(), key.asc()] if sort in df.columns else [key.asc()]
     out = out.orderBy(*order)
     if offset:
         out = out.offset(offset)
     return out if limit is None else out.limit(limit)
 
 
+def indexed(filter: str | dict | None) -> tuple[str, str] | None:
+    """Field and JSON text of the value, if the filter is one equality with a number, text or truth value."""
+    match parse(filter):
+        case [Condition(field, "=", value)] if isinstance(value, (str, bool, int, float)):
+            from ..functions.variant import canonical
+
+            return field, canonical(value)
+    return None
+
+
 def envelope(df: DataFrame, filter: str | dict | None = None, *, limit: int | None = None, offset: int | None = None) -> DataFrame:
     """count, total and total_exact of a result, from one aggregate."""
     total = df.where(compile_filter(filter, backend_of(df))).agg(F.count("*").alias("total"))
@@ -57,6 +78,11 @@ def get(current: DataFrame, collection: str, id: str) -> DataFrame:
     return current.where((F.col("collection") == collection) & (F.col("id") == id) & ~F.col("deleted")).limit(1)
 
 
+def record(current: DataFrame, collection: str, id: str, epoch: int = 0) -> DataFrame:
+    """A document as storage keeps it: a tombstone too, and the ``epoch`` of the store."""
+    return current.where((F.col("collection") == collection) & (F.col("id") == id)).limit(1).withColumn("epoch", F.lit(epoch).cast("long"))
+
+
 def multi_get(df: DataFrame, ids: list, id: str = "id") -> DataFrame:
     """Documents with these ids, tombstones too: a predicate that the scan can take."""
     return df.where(F.col(id).isin(list(ids)))

@@ -6,7 +6,8 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..streaming.feed import numbered
 
 
 def leaves(df: DataFrame, id: Column, content: Column) -> DataFrame:
@@ -15,14 +16,15 @@ def leaves(df: DataFrame, id: Column, content: Column) -> DataFrame:
 
 
 def root(leaf_table: DataFrame) -> DataFrame:
-    """The Merkle root: subtrees per id range are hashed in parallel, their roots level by level.
+    """The Merkle root over leaves in id order, padded to a power of two with the hash of nothing, level by level.
 
-    A level halves the table by one aggregation on index div 2, so no task holds more than its share.
+    Leaves are numbered by sampled ranges of the id, so ids with a common prefix don't meet in one task. A level halves
+    the table by one aggregation on index div 2, so no task holds more than its share.
     """
-    numbered = _numbered(leaf_table)
-    n = numbered.count()
+    numbered_ = numbered(leaf_table, -1, [F.col("id")])
+    n = numbered_.count()
     width = 1 << max(0, (n - 1).bit_length())
-    level, empty = numbered.select("at", "hash"), hashlib.sha256(b"").hexdigest()
+    level, empty = numbered_.select(F.col("seq").alias("at"), "hash"), hashlib.sha256(b"").hexdigest()
     while width > 1:
         halves = level.groupBy(F.expr("at div 2").alias("at")).agg(F.max(F.when(F.col("at") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("at") % 2 == 1, F.col("hash"))).alias("r"))
         level = halves.select("at", F.sha2(F.concat(F.coalesce("l", F.lit(empty)), F.coalesce("r", F.lit(empty))), 256).alias("hash"))
@@ -30,16 +32,6 @@ def root(leaf_table: DataFrame) -> DataFrame:
     return level.select(F.col("hash").alias("root"))
 
 
-def _numbered(leaf_table: DataFrame) -> DataFrame:
-    """Add ``at``, the place in id order: counted within ranges of the id, then offset by the ranges before."""
-    ranged = leaf_table.withColumn("_range", F.substring("id", 1, 2))
-    inner = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy("id")) - 1)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return inner.join(offsets, "_range").select("id", "hash", (F.col("_at") + F.col("_offset")).alias("at"))
-
-
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Ids whose hashes differ or that one side lacks."""
     both = left.select("id", F.col("hash").alias("l")).join(right.select("id", F.col("hash").alias("r")), "id", "full_outer")

@@ -58,6 +58,11 @@ _found("filter_exists", "customer", {"c_name": {"$exists": True}}, ["c_custkey",
 _found("filter_not_exists", "customer", {"c_nickname": {"$exists": False}}, ["c_custkey", "c_name"], "true")
 _found("filter_null", "customer", {"c_name": None}, ["c_custkey", "c_name"], "c_name IS NULL")
 _found("filter_regex", "part", {"p_name": {"$regex": "[aeiou].*[0-9]?"}}, PART, "regexp_matches(p_name, '[aeiou].*[0-9]?')")
+# the oracle's engine is RE2, so it takes the very pattern
+for _name, _pattern in [("named", "(?P<x_1>a[a-m])"), ("unicode", r"\p{Lu}|\pN\b"), ("flags", "a(?i)L|(?i:Q)"), ("posix", "^[[:alpha:]]+[[:space:]][^[:digit:]]"), ("end", r"[a-m]$|a{,2}")]:
+    _found(f"filter_regex_{_name}", "part", {"p_name": {"$regex": _pattern}}, PART, f"regexp_matches(p_name, '{_pattern}')")
+_found("filter_regex_refused", "part", {"p_name": {"$regex": "(?=a)"}}, PART, "false")
+_found("filter_big_number", "orders", {"o_totalprice": {"$lt": 10**30, "$ne": 10**40}}, ORDER, "o_totalprice < 1e30")
 _found("filter_bad_regex", "part", {"p_name": {"$regex": "["}}, PART, "false")
 _found("filter_type_mismatch", "orders", {"o_totalprice": {"$gt": "100"}}, ORDER, "false")
 _found("filter_unknown_op", "orders", {"o_totalprice": {"$eq": 5}}, ORDER, "false")
@@ -65,6 +70,24 @@ _found("filter_compound", "lineitem", {"l_quantity": {"$gte": 20, "$lt": 30}, "l
 _found("filter_empty", "nation", "{}", ["n_nationkey", "n_name"], "true")
 
 
+SPARSE = "SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind FROM events"
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which every third lacks its kind."""
+    return table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("kind"))
+
+
+for _name, _filter, _where in [("null", {"kind": None}, "kind IS NULL"), ("not_exists", {"kind": {"$exists": False}}, "kind IS NULL"), ("ne", {"kind": {"$ne": "view"}}, "kind IS DISTINCT FROM 'view'"), ("in_null", {"kind": {"$in": ["error", None]}}, "kind = 'error' OR kind IS NULL")]:
+    add(f"filter_sparse_{_name}", f"SELECT * FROM ({SPARSE}) WHERE {_where}")(lambda spark, d, f=_filter: (lambda df: df.where(filters.compile_filter(f, query.backend_of(df))))(sparse(spark, d)))
+
+
+@add("filter_dotted_name", "SELECT event_id, value AS v FROM events WHERE value > 50 AND event_type = 'click' ORDER BY value DESC, CAST(event_id AS VARCHAR) LIMIT 40")
+def _(spark, d):
+    df = table(spark, d, "events").select("event_id", F.col("value").alias("a.b"), F.col("event_type").alias("c`d"))
+    return query.find(df, {"a.b": {"$gt": 50}, "c`d": "click"}, sort="a.b", desc=True, limit=40, id=F.col("event_id").cast("string")).select("event_id", filters.quoted("a.b").alias("v"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     wanted = {"o_totalprice": {"$gte": 100000}, "o_orderpriority": {"$in": ["1-URGENT", "2-HIGH"]}}
@@ -79,13 +102,9 @@ def _(spark, d):
     return query.find(table(spark, d, "orders"), sort="o_totalprice", limit=20, offset=40, id=F.col("o_orderkey").cast("string")).select("o_orderkey", "o_totalprice")
 
 
-SPARSE = "SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS kind FROM events"
-
-
 @add("sort_desc_nulls_first", f"SELECT * FROM ({SPARSE}) ORDER BY kind DESC NULLS FIRST, CAST(event_id AS VARCHAR) LIMIT 25 OFFSET 10")
 def _(spark, d):
-    sparse = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("kind"))
-    return query.find(sparse, sort="kind", desc=True, limit=25, offset=10, id=F.col("event_id").cast("string"))
+    return query.find(sparse(spark, d), sort="kind", desc=True, limit=25, offset=10, id=F.col("event_id").cast("string"))
 
 
 @add("default_order_page", "SELECT c_custkey, c_name FROM customer ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 30")
@@ -210,6 +229,48 @@ def _(spark, d):
     return lww.count_under(version_log(spark, d), "us")
 
 
+_SPLIT = f"{LOG}, a AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS rn FROM log WHERE replica = 0) WHERE rn = 1), b AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS rn FROM log WHERE replica = 1) WHERE rn = 1)"
+
+
+def _replica(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return lww.lww(version_log(spark, d).where(F.col("replica") == k), "event_id")
+
+
+@add("replicated_apply", f"{LOG}, inc AS (SELECT *, max(ver) OVER (PARTITION BY id ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM log WHERE replica = 1), old AS (SELECT id, max(ver) AS v FROM log WHERE replica <> 1 GROUP BY id) SELECT i.id, i.ver FROM inc i LEFT JOIN old o ON o.id = i.id WHERE (seen IS NULL OR ver > seen) AND (v IS NULL OR ver > v)")
+def _(spark, d):
+    log = version_log(spark, d)
+    incoming = log.where("replica = 1").withColumn("came", F.struct(F.col("event_id") % 97, "event_id"))
+    return lww.applied(log.where("replica <> 1"), incoming, "came").select("id", "ver")
+
+
+@add("apply_again_changes_nothing", "SELECT CAST(0 AS BIGINT) AS n")
+def _(spark, d):
+    log = version_log(spark, d)
+    return lww.applied(log, log, "event_id").agg(F.count("*").alias("n"))
+
+
+@add("anti_entropy_sync", f"{_SPLIT} SELECT CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN 'right' ELSE 'left' END AS to, 'users' AS collection, coalesce(a.id, b.id) AS id, greatest(a.ver, b.ver) AS ver, CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN a.ts ELSE b.ts END AS ts, CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN a.deleted ELSE b.deleted END AS deleted FROM a FULL JOIN b ON a.id = b.id WHERE a.ver IS DISTINCT FROM b.ver")
+def _(spark, d):
+    return lww.sync(_replica(spark, d, 0), _replica(spark, d, 1))
+
+
+@add("bootstrap_copy", f"{_SPLIT} SELECT coalesce(a.id, b.id) AS id, greatest(a.ver, b.ver) AS ver FROM a FULL JOIN b ON a.id = b.id")
+def _(spark, d):
+    return lww.bootstrap(_replica(spark, d, 0), _replica(spark, d, 1)).select("id", "ver")
+
+
+@add("live_page", f"{LOG} SELECT id FROM current WHERE NOT deleted AND id > '3' ORDER BY id LIMIT 20")
+def _(spark, d):
+    return query.keyset_page(lww.lww(version_log(spark, d), "event_id"), "3", 20, live_only=True).select("id")
+
+
+@add("record_get", f"{LOG} SELECT {', '.join(HEAD)}, CAST(4 AS BIGINT) AS epoch FROM current WHERE id = (SELECT min(id) FROM current WHERE deleted)")
+def _(spark, d):
+    current = lww.lww(version_log(spark, d), "event_id")
+    gone = current.where("deleted").agg(F.min("id")).first()[0] or ""
+    return query.record(current, "users", gone, 4).select(*HEAD, "epoch")
+
+
 # --- replicas -------------------------------------------------------------------------------------------
 
 
@@ -241,7 +302,13 @@ def _(spark, d):
     return _leaves(lww.lww(version_log(spark, d), "event_id"))
 
 
-@add("merkle_root")
+MERKLE = f"""{LOG.replace('WITH log', 'WITH RECURSIVE log')}, leaf AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, {LEAF} AS h FROM current),
+ size AS (SELECT CAST(pow(2, ceil(log2(greatest(count(*), 1)))) AS BIGINT) AS w FROM leaf),
+ levels(w, pos, h) AS (SELECT w, i.pos, coalesce(leaf.h, sha256('')) FROM size, unnest(range(w)) i(pos) LEFT JOIN leaf ON leaf.pos = i.pos
+  UNION ALL SELECT w // 2, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM levels WHERE w > 1 GROUP BY w // 2, pos // 2) SELECT h AS root FROM levels WHERE w = 1"""
+
+
+@add("merkle_root", MERKLE)
 def _(spark, d):
     return replicas.root(_leaves(lww.lww(version_log(spark, d), "event_id")))
 
@@ -328,6 +395,30 @@ def _(spark, d):
     return index.secondary(lww.lww(version_log(spark, d), "event_id"), "by_type", F.col("event_type")).groupBy("name").agg(F.count("*").alias("n"))
 
 
+@add("find_by_index", "SELECT p_partkey, p_name FROM part WHERE p_size = 15 ORDER BY CAST(p_partkey AS VARCHAR)")
+def _(spark, d):
+    part = table(spark, d, "part")
+    entries = index.entries(part, F.col("p_partkey").cast("string"), _INDEX_FIELDS)
+    return query.find(part, {"p_size": 15}, id=F.col("p_partkey").cast("string"), index=entries).select("p_partkey", "p_name")
+
+
+def _declared(spark: SparkSession) -> DataFrame:
+    rows = index.declare(spark.createDataFrame([], index.DEFINITION), "props", "by_type", "kind")
+    for name, field in (("by_k", "k"), ("by_type", "type")):
+        rows = index.declare(rows, "props", name, field)
+    return index.declare(rows, "other", "by_x", "x")
+
+
+@add("gsi_definitions", "SELECT * FROM (VALUES ('by_k', 'k'), ('by_type', 'type')) AS t(name, field)")
+def _(spark, d):
+    return index.definitions_of(_declared(spark), "props")
+
+
+@add("gsi_backfill_declared", "SELECT 'by_type' AS name, count(*) AS n FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'by_k', count(*) FROM events WHERE event_id % 3 <> 0")
+def _(spark, d):
+    return index.backfill(props(spark, d), _declared(spark)).groupBy("name").agg(F.count("*").alias("n"))
+
+
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = version_log(spark, sf_dir)
     return log.select(F.col("event_id").alias("seq"), "ts", "collection", "id", F.when(F.col("deleted"), "delete").otherwise("upsert").alias("kind"))
@@ -356,6 +447,11 @@ def _(spark, d):
     return feed.retained(change_feed(spark, d), _middle(spark, d), 300)
 
 
+@add("feed_reopened", f"{_FEED} SELECT *, (SELECT max(seq) FROM feed) AS head FROM (SELECT * FROM feed WHERE ts >= {UNTIL} - 300000 ORDER BY seq DESC LIMIT 100)")
+def _(spark, d):
+    return feed.reopened(change_feed(spark, d), _middle(spark, d), 100)
+
+
 # --- documents as VARIANT -------------------------------------------------------------------------------
 
 
@@ -399,6 +495,43 @@ def _(spark, d):
     return lines.select("event_id", source.decrypted(F.col("line"), key).alias("props"))
 
 
+# --- migration of VARIANT documents: each from its own version on; a retype that can't be done leaves the value ---
+
+RULES = [migrate.Transform("rename", "town", "city"), migrate.Transform("retype", "n", "int"), migrate.Transform("drop", "old"), migrate.Transform("retype", "b", "bool"), migrate.Transform("retype", "s", "string"), migrate.Transform("retype", "f", "float")]
+_N = "CASE event_id % 5 WHEN 0 THEN '\"42x\"' WHEN 1 THEN '7.9' WHEN 2 THEN '\"abc\"' WHEN 3 THEN 'true' ELSE 'null' END"
+_B = "CASE event_id % 4 WHEN 0 THEN '\"1\"' WHEN 1 THEN '0' WHEN 2 THEN '\"yes\"' ELSE 'false' END"
+_S = "CASE event_id % 3 WHEN 0 THEN '12' WHEN 1 THEN '2.5' ELSE 'true' END"
+_F = "CASE event_id % 3 WHEN 0 THEN '\"2.5e1\"' WHEN 1 THEN 'true' ELSE '[1]' END"
+#: Documents of versions 0, 2 and 6 in turn.
+_OLD = f"concat('{{{{\"n\":', {_N}, ',\"b\":', {_B}, ',\"s\":', {_S}, ',\"f\":', {_F}, ',\"town\":\"t', event_id % 7, '\",\"old\":1', CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',\"_schema_ver\":2' ELSE ',\"_schema_ver\":6' END, '}}}}')".replace("{{", "{").replace("}}", "}")
+#: The same after the transforms, by hand: n, b, s, f, city, town, old as JSON.
+_NEW = {
+    "n": f"CASE WHEN event_id % 3 <> 0 THEN {_N} ELSE CASE event_id % 5 WHEN 0 THEN '42' WHEN 1 THEN '7' WHEN 2 THEN '\"abc\"' WHEN 3 THEN 'true' ELSE 'null' END END",
+    "b": f"CASE WHEN event_id % 3 = 2 THEN {_B} ELSE CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '\"yes\"' ELSE 'false' END END",
+    "s": "CASE event_id % 3 WHEN 0 THEN '\"12\"' WHEN 1 THEN '\"2.5\"' ELSE 'true' END",
+    "f": "CASE event_id % 3 WHEN 0 THEN '25' WHEN 1 THEN '1' ELSE '[1]' END",
+    "city": "CASE WHEN event_id % 3 = 0 THEN '\"t' || event_id % 7 || '\"' END",
+    "town": "CASE WHEN event_id % 3 <> 0 THEN '\"t' || event_id % 7 || '\"' END",
+    "old": "CASE WHEN event_id % 3 = 2 THEN '1' END",
+    "_schema_ver": "'6'",
+}
+
+
+def old_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.parse_json(F.expr(_OLD)).alias("fields"))
+
+
+@add("variant_migrate", "SELECT CAST(event_id AS VARCHAR) AS id, " + ", ".join(f"{sql} AS {name}" for name, sql in _NEW.items()) + " FROM events")
+def _(spark, d):
+    new = migrate.read(old_documents(spark, d), RULES)
+    return new.select("id", *(F.to_json(F.try_variant_get("fields", f"$.{name}", "variant")).alias(name) for name in _NEW))
+
+
+@add("variant_migrate_then_find", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 3 = 0 AND event_id % 7 = 3 AND event_id % 5 IN (0, 1) ORDER BY CASE event_id % 5 WHEN 0 THEN 42 ELSE 7 END DESC, id LIMIT 30")
+def _(spark, d):
+    return query.find(old_documents(spark, d), {"city": "t3", "n": {"$gt": 0}}, sort="n", desc=True, limit=30, schema=RULES).select("id")
+
+
 # --- migration ------------------------------------------------------------------------------------------
 
 
@@ -458,6 +591,40 @@ def _(spark, d):
     return placed.groupBy(F.col("owners")[0].alias("owner")).agg(F.count("*").alias("n"))
 
 
+#: Load of a plan that doesn't depend on the data: some hot buckets, of which one is beyond the fair share.
+LOADS = [1.0 + 100.0 * (b == 200) + 20.0 * (100 <= b < 108) + 5.0 * (b % 16 == 3) for b in range(placement.BUCKETS)]
+
+
+def _planned() -> list[placement.Range]:
+    return placement.plan(NODES, 2, LOADS, placement.Ring.build(NODES))
+
+
+def _planned_sql() -> str:
+    rows = ", ".join(f"({r.start}, {(r.end or placement.SPACE) - 1}, '{r.owners[0]}')" for r in _planned())
+    return f"WITH plan(low, high, node) AS (VALUES {rows}), k AS (SELECT user_id, CAST({_FNV.format(chr(39) + 'users/' + chr(39) + ' || user_id')} AS BIGINT) AS t FROM events) SELECT node AS owner, count(*) AS n FROM k JOIN plan ON t >= low AND t <= high GROUP BY node"
+
+
+def _users(spark: SparkSession, d: str, epoch: int) -> DataFrame:
+    placed = placement.place_planned(table(spark, d, "events"), _planned(), 3, epoch, placement.Ring.build(NODES), F.concat(F.lit("users/"), F.col("user_id").cast("string")), 2)
+    return placed.groupBy(F.col("owners")[0].alias("owner")).agg(F.count("*").alias("n"))
+
+
+@add("plan_owner_counts", _planned_sql())
+def _(spark, d):
+    return _users(spark, d, 3)
+
+
+@add("outdated_plan_owner_counts", _owner_sql())
+def _(spark, d):
+    return _users(spark, d, 4)
+
+
+@add("effective_rf", "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_id % 4 ELSE 3 END AS rf FROM events")
+def _(spark, d):
+    override = F.when(F.col("event_id") % 8 != 4, F.col("event_id") % 4)
+    return table(spark, d, "events").select("event_id", placement.effective_rf(override, 3).cast("long").alias("rf"))
+
+
 @add("range_plan")
 def _(spark, d):
     rows = placement.load_buckets(table(spark, d, "events"), F.concat(F.lit("users/"), F.col("user_id").cast("string"))).collect()  # 256 at most
@@ -468,12 +635,27 @@ def _(spark, d):
     return spark.createDataFrame([(r.start, r.end, r.owners, r.load) for r in ranges], "start long, end long, owners array<string>, load double")
 
 
-@add("ewma_load", "WITH t AS (SELECT user_id, CAST(floor(epoch_us(ts) // 1000 / 60000) AS BIGINT) AS tick, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, round(sum(0.3 * n / 60000 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 12) AS rate FROM t GROUP BY user_id")
+@add("ewma_load", "WITH t AS (SELECT user_id, CAST(floor(epoch_us(ts) // 1000 / 60000) AS BIGINT) AS tick, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, round(sum(0.3 * n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 12) AS rate FROM t GROUP BY user_id")
 def _(spark, d):
     rates = placement.ewma(table(spark, d, "events"), F.expr(MILLIS), ["user_id"], 60000)
     return rates.select("user_id", F.round("rate", 12).alias("rate"))
 
 
+_RATES = f"SELECT event_id % 3 AS node, CAST({_FNV.format('k')} >> 24 AS BIGINT) AS bucket, CAST(floor(ms / 60000) AS BIGINT) AS tick FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms, 'users/' || user_id AS k FROM events)"
+
+
+@add("bucket_ewma", f"WITH r AS ({_RATES}), t AS (SELECT bucket, tick, count(*) AS n FROM r GROUP BY ALL) SELECT bucket, round(sum(0.3 * n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 10) AS rate FROM t GROUP BY bucket")
+def _(spark, d):
+    keyed = table(spark, d, "events").withColumn("bucket", F.shiftright(fnv1a(F.concat(F.lit("users/"), F.col("user_id").cast("string"))), 24))
+    return placement.ewma(keyed, F.expr(MILLIS), ["bucket"], 60000).select("bucket", F.round("rate", 10).alias("rate"))
+
+
+@add("cluster_load", f"WITH r AS ({_RATES}), t AS (SELECT node, bucket, tick, count(*) AS n FROM r GROUP BY ALL) SELECT bucket, round(sum(0.3 * n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 10) AS rate FROM t GROUP BY bucket")
+def _(spark, d):
+    keyed = table(spark, d, "events").withColumn("bucket", F.shiftright(fnv1a(F.concat(F.lit("users/"), F.col("user_id").cast("string"))), 24)).withColumn("node", F.col("event_id") % 3)
+    return placement.cluster_load(placement.ewma(keyed, F.expr(MILLIS), ["node", "bucket"], 60000)).select("bucket", F.round("rate", 10).alias("rate"))
+
+
 # --- admission ------------------------------------------------------------------------------------------
 
 
@@ -490,6 +672,14 @@ def _(spark, d):
     return admission.tenant_usage(docs, tenants)
 
 
+@add("tenant_admission", "WITH u AS (SELECT substr(event_type, 1, 1) AS name, count(*) AS used FROM events GROUP BY 1), t AS (SELECT * FROM (VALUES ('c', 10, 1), ('v', 100000000, 5), ('zz', 5, 5), ('e', 0, 9)) AS t(name, most, delta)) SELECT t.name, coalesce(used, 0) AS used, CAST(delta AS BIGINT) AS delta, most <= 0 OR coalesce(used, 0) + delta <= most AS admitted FROM t LEFT JOIN u USING (name)")
+def _(spark, d):
+    docs = table(spark, d, "events").select(F.concat(F.substring("event_type", 1, 1), F.lit(".docs")).alias("collection"), F.lit(False).alias("deleted"))
+    rows = [("c", 10, 1), ("v", 100000000, 5), ("zz", 5, 5), ("e", 0, 9)]
+    tenants = spark.createDataFrame(rows, "name string, max_docs int, delta long")
+    return admission.tenant_admission(docs, tenants.drop("delta"), tenants.select("name", "delta"))
+
+
 @add("epoch_fence", "SELECT event_id, user_id, epoch, coalesce(epoch >= max(epoch) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM (SELECT event_id, user_id, event_id * 7 % 11 AS epoch FROM events)")
 def _(spark, d):
     records = table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") * 7 % 11).alias("epoch"))
@@ -500,7 +690,11 @@ def _timed(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", F.expr(MILLIS).cast("long").alias("at"))
 
 
-@add("rate_limit")
+_LIMITED = "SELECT event_id, user_id, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events"
+_FULL = "least(3.0::DOUBLE, s.tokens + (t.tm - s.tm)::DOUBLE / 1000 * 0.001::DOUBLE)"
+
+
+@add("rate_limit", f"WITH RECURSIVE t AS ({_LIMITED}), s AS (SELECT event_id, user_id, n, tm, 2.0::DOUBLE AS tokens, true AS allowed FROM t WHERE n = 1 UNION ALL SELECT t.event_id, t.user_id, t.n, t.tm, {_FULL} - CASE WHEN {_FULL} >= 1 THEN 1 ELSE 0 END, {_FULL} >= 1 FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1) SELECT event_id, user_id, allowed FROM s")
 def _(spark, d):
     return admission.rate_limit(_timed(spark, d), "user_id", "at", "event_id", rps=0.001, burst=3)
 
@@ -540,6 +734,42 @@ def _(spark, d):
     return source.replicate(entries.where("lsn <= 300"), entries)
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a shared log: every fourth payload is a batch of two, every fifth is broken."""
+    log = version_log(spark, d)
+    doc = F.to_json(F.struct("collection", "id", "ver", "ts", F.when(F.col("deleted"), True).alias("deleted")))
+    batch = F.concat(F.lit('{"batch":['), doc, F.lit(","), F.regexp_replace(doc, '"id":"', '"id":"x'), F.lit("]}"))
+    payload = F.when(F.col("event_id") % 5 == 0, F.lit('{"id":')).when(F.col("event_id") % 4 == 0, batch).otherwise(doc)
+    return log.select(F.col("event_id").alias("lsn"), payload.alias("payload"))
+
+
+_PAID = f"{LOG}, told AS (SELECT id, ver, event_id, 0 AS n FROM log WHERE event_id > 100 AND event_id % 5 <> 0 UNION ALL SELECT 'x' || id, ver, event_id, 1 FROM log WHERE event_id > 100 AND event_id % 5 <> 0 AND event_id % 4 = 0), best AS (SELECT *, max(ver) OVER (PARTITION BY id ORDER BY event_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM told), held AS (SELECT id, max(ver) AS v FROM log WHERE event_id <= 100 GROUP BY id), ok AS (SELECT b.* FROM best b LEFT JOIN held h ON h.id = b.id WHERE (seen IS NULL OR ver > seen) AND (v IS NULL OR ver > v))"
+
+
+@add("shared_log_recover", f"{_PAID} SELECT id, ver FROM ok")
+def _(spark, d):
+    return source.recover(version_log(spark, d).where("event_id <= 100"), _entries(spark, d), 100)[0].select("id", "ver")
+
+
+@add("shared_log_checkpoint", f"{_PAID} SELECT (SELECT count(*) FROM ok) AS applied, (SELECT max(event_id) FROM log) AS checkpoint")
+def _(spark, d):
+    return source.recover(version_log(spark, d).where("event_id <= 100"), _entries(spark, d), 100)[1]
+
+
+@add("shared_log_append", "SELECT (SELECT max(event_id) FROM events WHERE event_id <= 300) + row_number() OVER (ORDER BY event_id) AS lsn, CAST(5 AS BIGINT) AS ts, props AS payload FROM events WHERE event_id > 300")
+def _(spark, d):
+    events = table(spark, d, "events")
+    held = events.where("event_id <= 300").select(F.col("event_id").alias("lsn"))
+    return source.append(held, events.where("event_id > 300").select("event_id", F.col("props").alias("payload")), "event_id", 5)
+
+
+@add("shared_log_quorum", "SELECT event_id AS lsn, 1 + event_id % 5 AS acked, 1 + event_id % 5 >= 3 AS durable FROM events")
+def _(spark, d):
+    entries = table(spark, d, "events").select(F.col("event_id").alias("lsn"))
+    acks = entries.select("lsn", F.explode(F.expr("if(lsn % 5 = 0, array(), sequence(1, cast(lsn % 5 as int)))")).alias("member"))
+    return source.quorum(entries, acks.unionAll(acks), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +75,13 @@ def restore(log: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(log_path: str, out_path: str, spark: SparkSession) -> None:
-    """A raw copy of the log's lines."""
-    spark.read.text(log_path).write.text(out_path)
+    """A raw copy of the log's lines, in a new folder."""
+    spark.read.text(log_path).write.mode("errorifexists").text(out_path)
+
+
+def archive_name(path: str, now: int) -> str:
+    """Where an archive of that moment (milliseconds) goes."""
+    return f"{path.rstrip('/')}-{datetime.fromtimestamp(now / 1000, timezone.utc):%Y%m%dT%H%M%S}{now % 1000:03d}"
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -114,6 +120,38 @@ def tail(entries: DataFrame, after: int, limit: int = 1000) -> DataFrame:
     return entries.where(F.col("lsn") > after).orderBy("lsn").limit(limit if 0 < limit <= 10_000 else 1000)
 
 
+def append(held: DataFrame, records: DataFrame, order: str, now: int) -> DataFrame:
+    """Entries (lsn, ts, payload) that a leader makes of ``records`` (``order``, payload): numbered without a gap after the last one held."""
+    from ..streaming.feed import numbered
+
+    last = held.agg(F.coalesce(F.max("lsn"), F.lit(0))).first()[0]
+    return numbered(records, last, [F.col(order)]).select(F.col("seq").alias("lsn"), F.lit(now).cast("long").alias("ts"), "payload")
+
+
+def quorum(entries: DataFrame, acks: DataFrame, members: int) -> DataFrame:
+    """(lsn, acked, durable): followers' acknowledgements (lsn, member) and the leader's own; an entry without a quorum stays, unconfirmed."""
+    got = acks.groupBy("lsn").agg(F.count_distinct("member").alias("n"))
+    acked = F.coalesce("n", F.lit(0)) + 1
+    return entries.select("lsn").join(got, "lsn", "left").select("lsn", acked.alias("acked"), (acked >= members // 2 + 1).alias("durable"))
+
+
+def payloads(entries: DataFrame, after: int) -> DataFrame:
+    """The documents of entries beyond a checkpoint, in order (``at``): a payload is one or a batch; others count as none."""
+    v = F.try_parse_json(F.trim("payload"))
+    parsed = entries.where(F.col("lsn") > after).select("lsn", v.alias("v")).where("v is not null")
+    each = parsed.select("lsn", F.posexplode(F.coalesce(F.try_variant_get("v", "$.batch", "array<variant>"), F.array("v"))).alias("n", "d"))
+    return each.select(*_document(F.col("d")), F.struct("lsn", "n").alias("at")).where("id is not null and collection is not null")
+
+
+def recover(log: DataFrame, entries: DataFrame, checkpoint: int) -> tuple[DataFrame, DataFrame]:
+    """Recovery from a shared log: the records to append to ``log``, and one row with how many (``applied``) and the new ``checkpoint``."""
+    from ..operators.lww import applied
+
+    rows = applied(log, payloads(entries, checkpoint), "at")
+    reached = entries.where(F.col("lsn") > checkpoint).agg(F.coalesce(F.max("lsn"), F.lit(checkpoint)).cast("long").alias("checkpoint"))
+    return rows, rows.agg(F.count("*").alias("applied")).crossJoin(reached)  # two single rows
+
+
 def replicate(held: DataFrame, incoming: DataFrame) -> DataFrame:
     """What a follower appends: entries beyond its last LSN."""
     last = held.agg(F.coalesce(F.max("lsn"), F.lit(0)).alias("_last"))

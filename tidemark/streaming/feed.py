@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,16 +25,35 @@ def retained(feed: DataFrame, now: int, events: int = RETAIN_EVENTS, age: int =
     return feed.where(F.col("ts") >= now - age).orderBy(F.col("seq").desc()).limit(events)
 
 
+def reopened(feed: DataFrame, now: int, events: int = RETAIN_EVENTS, age: int = RETAIN_MS) -> DataFrame:
+    """A durable feed's events as it is opened again: what is retained, and in ``head`` the last number of all events, expired ones too."""
+    last = feed.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("head"))
+    return retained(feed, now, events, age).crossJoin(F.broadcast(last))  # one row
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept where all executors see them (spark.checkpoint.dir; a local session makes a folder)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def numbered(rows: DataFrame, base: int, order: list[Column]) -> DataFrame:
     """``seq`` for a micro-batch: gapless after ``base``, by ``order``; ranks are per range, offsets per range added."""
     from pyspark.sql.window import Window
 
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else parts.persist()
+    parts = _kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    # a row's place in its range is in the lower 33 bits of its id; ranges are as many as shuffle partitions
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("_m"))
-    return parts.withColumn("_r", place).join(F.broadcast(offsets), "_p").withColumn("seq", F.col("_r") + F.col("_o") + base).drop("_p", "_m", "_n", "_o", "_r")
+    place = F.col("_m").bitwiseAND((1 << 33) - 1) + 1
+    return parts.join(F.broadcast(offsets), "_p").withColumn("seq", place + F.col("_o") + base).drop("_p", "_m", "_o")
 
 
 def watch(spark: SparkSession, path: str, collection: str | None = None, cursor: int = 0) -> DataFrame:
