@@ -173,6 +173,8 @@ def test_substring_dedup(docs, empty):
                 gone |= set(range(p, p + 50))
         kept = [x for i, x in enumerate(w) if i not in gone]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), sha(" ".join(kept)))
+    small = substring_dedup.remove_repeats(docs, 50, group_bytes=5000, range_bytes=9000)
+    assert sorted(map(str, small.collect())) == sorted(map(str, substring_dedup.remove_repeats(docs, 50).collect()))
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
@@ -194,6 +196,9 @@ def test_token_files(docs, empty):
             assert (r.n_tokens, r.ids_crc32) == (len(own), zlib.crc32(struct.pack(f"<{len(own)}I", *own)))
     found = [x for f in table.collect() for x in [token_files.Reader(f.path).document(13)] if x is not None]
     assert found[0].tolist() == [*library.encode(LONG, add_special_tokens=False).ids, 2]
+    assert [len(x) for f in table.collect() for x in token_files.Reader(f.path).documents(20)] == [len(library.encode("word " * 60, add_special_tokens=False).ids) + 1] * 2
+    small = token_files.write(docs, path, public_tokenizers.PATTERN, 2, file_bytes=10_000)
+    assert sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(small).collect()) == [(r.start, r.n_tokens, r.ids_crc32) for r in got]
     assert token_files.read(token_files.write(empty, path, public_tokenizers.PATTERN, 2)).count() == 0
 
 
@@ -391,6 +396,16 @@ def test_warc(spark):
     assert warc.histories(frame.limit(0)).count() == 0
 
 
+def test_warc_takes_nulls_and_repeated_rows(spark, tmp_path):
+    rows = [(5, "http://h:443/", "same"), (5, "http://h:443/", "same"), (None, "https://h:443/", "same"), (9, "http://h:80/", "same"), (None, None, None), (None, None, "own"), (-3, "http://h/", "neg"), (5, "http://h/", "other")]
+    frame = spark.createDataFrame([(*x, "x", 1) for x in rows], "page_id long, url string, html string, same string, first int").repartition(3)
+    got = sorted((str(r.page_id), r.url_key, r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.histories(frame).collect())
+    same = [("5", "h:443)/", 4, "response", "None")] * 2 + [("None", "h)/", 4, "revisit", "5"), ("9", "h)/", 4, "revisit", "5")]
+    assert got == sorted(same + [("None", "-", 0, "response", "None"), ("None", "-", 3, "response", "None"), ("-3", "h)/", 3, "response", "None"), ("5", "h)/", 5, "response", "None")])
+    ids = [fields["WARC-Record-ID"] for x in warc.write(frame).collect() for *_, fields, _ in warc.records(x.path)]
+    assert len(set(ids)) == len(rows)
+
+
 def test_loser_tree():
     for k in range(1, 9):
         runs = [sorted(str(rng.random()).encode() for _ in range(rng.randint(0, 20))) for _ in range(k)]

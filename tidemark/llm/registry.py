@@ -82,6 +82,62 @@ t AS (SELECT x.doc_id, count(*) AS n, count(r.j) AS gone, string_agg(x.word, ' '
 SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)"""
 
 
+def _placed_sql(name: str, pattern: str, least: int, group: int = 0) -> str:
+    """A CTE (doc_id, kind, s, e, v) of a pattern's matches with their places, counted in code points."""
+    p = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT doc_id, '{name}' AS kind, s, s + length(m) AS e, m AS v FROM (
+  SELECT doc_id, ms[i] AS m, gs[i] AS g, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', {group}) AS gs, string_split_regex(t, '{p}') AS parts, unnest(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1)) AS i FROM d))
+ WHERE length(g) >= {least})"""
+
+
+def _secrets_sql() -> str:
+    limits, w = secrets.LIMITS, secrets.WINDOW
+    allowed = " OR ".join(f"regexp_matches(v, '{p}')" for p in secrets.ALLOWED)
+    ctes = [_placed_sql("assign", secrets.ASSIGN, 6, 2), _placed_sql("access", secrets.ACCESS, 1), _placed_sql("hex", secrets.HEX, 1), _placed_sql("candidate", secrets.CANDIDATE, 1)]
+    told = lambda table: f"SELECT doc_id, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS spans, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (k = 3) AS n3 FROM {table} GROUP BY doc_id"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(ctes)},
+base AS (SELECT doc_id, kind, s, e, 0 AS k FROM assign UNION ALL SELECT doc_id, kind, s, e, 1 FROM access UNION ALL SELECT doc_id, kind, s, e, 2 FROM hex),
+c AS (SELECT doc_id, s, v, CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN {limits['hex']} WHEN regexp_full_match(v, '[0-9a-z]+') THEN {limits['base36']} ELSE {limits['base64']} END AS least,
+ regexp_extract_all(v, '{secrets.HARMLESS}', 0) AS hm, string_split_regex(v, '{secrets.HARMLESS}') AS hp FROM candidate WHERE NOT ({allowed})),
+w AS (SELECT doc_id, s AS origin, least, hm, hp, unnest(range(0, length(v) - {w} + 1)) AS i, v FROM c),
+f AS (SELECT doc_id, origin, i FROM w WHERE list_entropy(string_split(substr(v, i + 1, {w}), '')) >= least
+ AND NOT list_bool_or(list_concat([false], list_transform(range(1, len(hm) + 1), lambda j: list_sum(list_transform(hp[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(hm[1:j - 1], lambda x: length(x))), 0) < i + {w}
+  AND i < list_sum(list_transform(hp[1:j], lambda x: length(x))) + list_sum(list_transform(hm[1:j], lambda x: length(x))))))),
+g AS (SELECT *, sum(CASE WHEN i - before > {w} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, origin ORDER BY i) AS part FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, origin ORDER BY i) AS before FROM f)),
+raised AS (SELECT doc_id, 'entropy' AS kind, origin + min(i) AS s, origin + max(i) + {w} AS e, 3 AS k FROM g GROUP BY doc_id, origin, part),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM raised r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND r.e <= b.e)),
+x AS ({told('base')}), y AS ({told('every')})
+SELECT d.doc_id, coalesce(y.n0, 0) AS n_assign, coalesce(y.n1, 0) AS n_access, coalesce(y.n2, 0) AS n_hex, coalesce(y.n3, 0) AS n_entropy, sha256(coalesce(x.spans, '')) AS base_sha256, coalesce(y.spans, '') AS spans
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+
+def _shards_sql(shards: int = 24, seed: int = 0) -> str:
+    """CRC-32 by its table, which the polynomial gives; rounds of the network as steps; the walk as recursion."""
+    table = "SELECT i, i AS x FROM range(256) r(i)"
+    for _ in range(8):
+        table = f"SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM ({table})"
+    ctes = []
+    prime = sharding.PRIME
+    for k, (c, m, d) in enumerate(sharding._keys(seed)):
+        side, size, out = ("r", "a", "l") if k % 2 == 0 else ("l", "b", "r")
+        t = f"(({side} % {prime} + {c}) % {prime} * {m} % {prime})"
+        new = f"({out} + ({t} * {t} + {d}) % {prime} % {size}) % {size}"
+        ctes.append((out, new))
+    inner = "(SELECT id, n, a, b, x % a AS l, x // a AS r, steps FROM walk WHERE steps = 0 OR x >= n)"
+    for out, new in ctes:
+        other = "r" if out == "l" else "l"
+        inner = f"(SELECT id, n, a, b, {new} AS {out}, {other}, steps FROM {inner})"
+    return f"""WITH RECURSIVE tab AS (SELECT list(x ORDER BY i) AS t FROM ({table})),
+size AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+ CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1])), 4294967295::BIGINT) AS BIGINT) AS crc FROM documents, tab),
+num AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || crc || '|' || size), 1, 8))::BIGINT % {sharding.BUCKETS}, doc_id NULLS FIRST, crc, size) - 1 AS id, count(*) OVER () AS n FROM size),
+side AS (SELECT *, greatest(1, CAST(ceil(sqrt(n)) AS BIGINT)) AS a FROM num),
+walk(id, n, a, b, x, steps) AS (SELECT id, n, a, (n + a - 1) // a, id, 0 FROM side UNION ALL SELECT id, n, a, b, r * a + l, steps + 1 FROM {inner}),
+done AS (SELECT id, x FROM walk WHERE steps > 0 AND x < n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, x // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, id AS row_no, n AS n_rows FROM side JOIN done USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the other queries are tested against brute force."""
-    return {"op3_minhash_near_dedup": NEAR_SQL, "op4_substring_dedup": REPEATS_SQL}
+    return {"op3_minhash_near_dedup": NEAR_SQL, "op4_substring_dedup": REPEATS_SQL, "op8_secret_scan": _secrets_sql(), "op10_feistel_sharding": _shards_sql()}

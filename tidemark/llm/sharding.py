@@ -5,7 +5,8 @@ number gives shard (modulo) and slot (quotient). Where a row goes is a pure func
 ``n`` and the seed, so it can be computed anywhere (``locate``, ``row_at``).
 
 Defined results: null text counts as empty (size 8, checksum 0); a null doc_id is a row like others;
-fully equal rows are interchangeable; an empty table gives an empty result; other columns are ignored.
+fully equal rows are interchangeable; texts of any length count whole; an empty table gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -97,12 +98,13 @@ def _pass_sql(x: str, seed: int) -> str:
 
 
 def number_rows(df: DataFrame, order: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Add ``row_no`` (gapless from 0, a function of the rows alone) and ``n_rows``.
+    """Add ``row_no`` (gapless from 0, a function of the rows alone: by bucket of their MD5, then ``order``) and ``n_rows``.
 
     One shuffle of the given narrow columns by hash bucket; both the numbers within buckets and the
     bucket sizes are taken from it.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).repartition("_bucket")
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))
+    dealt = df.withColumn("_bucket", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("int")).repartition("_bucket")
     inner = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1)
     sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

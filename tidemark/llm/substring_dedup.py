@@ -2,7 +2,8 @@
 
 A passage of WINDOW words that is repeated holds, wherever it lies in the reference text, at least one whole
 reference block of BLOCK = WINDOW / 2 words, counted from the text's start. Texts are dealt by a hash of
-doc_id into groups of bounded size, and three steps run over the groups:
+doc_id into groups of about GROUP_BYTES, hashes into ranges that stand for about RANGE_BYTES of text, and three steps run
+over the groups:
 
 1. anchors: every rolling window of BLOCK words is a probe, every BLOCK-th one also an index block. A group
    sends each hash once, with marks (is a block; is in several documents). Per hash range, a hash that is a
@@ -15,7 +16,7 @@ doc_id into groups of bounded size, and three steps run over the groups:
 As groups combine equal hashes before anything is shuffled, a passage that a third of all documents share
 sends one entry per group, not one per document, and no pairs of documents are ever made.
 
-Defined results: null, empty and shorter texts have nothing removed; windows are judged on the input; rows
+Defined results: null, empty and shorter texts have nothing removed; texts of any length are one document; windows are judged on the input; rows
 with an equal doc_id aren't earlier than each other; rows with a null doc_id are neither removed from nor
 a source; an empty table gives an empty result; other columns are ignored.
 """
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, documents, mixed, rows_of, shuffle_partitions, words_of
 
 WINDOW = 50
-#: Documents in a group, on average.
-GROUP = 4096
+#: Bytes of text in a group, and for which a hash range has the hashes, on average. There are at least as many of either as
+#: shuffle partitions.
+GROUP_BYTES, RANGE_BYTES = 32 << 20, 256 << 20
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
 
 
@@ -90,14 +92,15 @@ def _sent(group: int, part: np.ndarray, parts: int, *arrays: np.ndarray) -> pa.T
 _MESSAGE = "g int, k int, blob binary"
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and spans (maximal repeats as [first word, end)) of each document."""
     if window % 2:
         raise ValueError("the window must have an even number of words")
     block = window // 2
     docs = documents(docs)
     spark = docs.sparkSession
-    groups = parts = max(8, shuffle_partitions(spark), -(-docs.count() // group))
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, parts = (max(8, shuffle_partitions(spark), -(-whole // size)) for size in (group_bytes, range_bytes))
     # the three steps share this one exchange of texts
     dealt = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(groups, "g")
 

@@ -11,8 +11,9 @@ retried tasks leave no trace in results.
 
 Defined results: null text counts as empty (its ids are the end id alone); null doc_ids come first;
 equal doc_ids are ordered by their ids; texts of any length are one frame; an empty table gives no files
-and an empty result; other columns are ignored. The dictionary is trained on at most ``sample`` documents;
-that bounds what the driver holds and changes sizes only, never contents.
+and an empty result; repeated rows are documents of their own; other columns are ignored. The dictionary, for short
+documents, is trained on at most ``sample`` of at most SHORT bytes; that bounds what the driver holds and changes sizes
+only, never contents. Files hold about FILE_BYTES of text, and at least as many as there are shuffle partitions are written.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,10 @@ from .common import create, documents, materialize, open_random, rows_of, shared
 MAGIC = b"TMTOKEN1"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u8"), ("before", "<u8"), ("ids", "<u8")])
 PIECES = 1_000_000
-#: Documents whose ids train the dictionary, at most.
-SAMPLE = 1000
+#: Documents whose ids train the dictionary, at most, and the bytes of text that make one short.
+SAMPLE, SHORT = 1000, 1 << 16
+#: Bytes of text in a file, on average.
+FILE_BYTES = 128 << 20
 
 
 class IdEncoder:
@@ -83,18 +87,23 @@ def encoder_of(path: str, public_pattern: str) -> IdEncoder:
 
 def write_file(path: str, rows: Iterator[tuple[int | None, bytes, int]], dictionary: bytes, width: int) -> tuple[int, int]:
     """Write (doc_id, frame, ids) rows in the given order; the numbers of documents and ids."""
-    index, at, ids = [], 0, 0
+    columns = [array("B" if kind == "u1" else "q") for _, kind in INDEX.descr]
+    at, ids = 0, 0
     with create(path) as out:
         head = MAGIC + hashlib.sha256(dictionary).digest() + struct.pack("<BI", width, len(dictionary)) + dictionary
         out.write(head)
         at = len(head)
         for doc_id, frame, n in rows:
             out.write(frame)
-            index.append((doc_id or 0, doc_id is None, at, len(frame), ids, n))
+            for column, value in zip(columns, (doc_id or 0, doc_id is None, at, len(frame), ids, n)):
+                column.append(value)
             at, ids = at + len(frame), ids + n
-        table = np.array(index, INDEX).tobytes()
-        out.write(table + struct.pack("<QQ", at, len(index)) + MAGIC)
-    return len(index), ids
+        table = np.zeros(len(columns[0]), INDEX)
+        for name, column in zip(INDEX.names, columns):
+            table[name] = column
+        out.write(table.tobytes())
+        out.write(struct.pack("<QQ", at, len(table)) + MAGIC)
+    return len(table), ids
 
 
 class Reader:
@@ -115,16 +124,22 @@ class Reader:
             raise ValueError(f"{path}: cut off")
         self.file.seek(at)
         self.index = np.frombuffer(self.file.read(n * INDEX.itemsize), INDEX)
+        # missing ids come first, the others are sorted
+        self.sorted = np.ascontiguousarray(self.index["doc_id"][int(self.index["null"].sum()) :])
 
     def ids(self, entry: np.void) -> np.ndarray:
         self.file.seek(int(entry["at"]))
         return np.frombuffer(self.inflate.decompress(self.file.read(int(entry["size"]))), self.kind)
 
+    def documents(self, doc_id: int) -> list[np.ndarray]:
+        """The ids of every document with that doc_id; their frames alone are read."""
+        first = len(self.index) - len(self.sorted)
+        low, high = (first + int(np.searchsorted(self.sorted, doc_id, side)) for side in ("left", "right"))
+        return [self.ids(entry) for entry in self.index[low:high]]
+
     def document(self, doc_id: int) -> np.ndarray | None:
-        """The ids of one document; its frame alone is read."""
-        own = self.index[self.index["null"] == 0]
-        k = int(np.searchsorted(own["doc_id"], doc_id))
-        return self.ids(own[k]) if k < len(own) and own[k]["doc_id"] == doc_id else None
+        """The ids of the first document with that doc_id."""
+        return next(iter(self.documents(doc_id)), None)
 
     def __iter__(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         for entry in self.index:
@@ -132,8 +147,8 @@ class Reader:
 
 
 def train(docs: DataFrame, path: str, public_pattern: str, sample: int = SAMPLE, size: int = 1 << 16) -> bytes:
-    """A dictionary from the ids of ``sample`` documents, those of least hash of doc_id; empty if too few."""
-    chosen = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """A dictionary from the ids of ``sample`` short documents, those of least hash of doc_id; empty if too few."""
+    chosen = docs.where(F.octet_length("text") <= SHORT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, public_pattern)
@@ -147,13 +162,15 @@ def train(docs: DataFrame, path: str, public_pattern: str, sample: int = SAMPLE,
         return b""
 
 
-def write(docs: DataFrame, path: str, public_pattern: str, end_id: int, out_dir: str | None = None, sample: int = SAMPLE) -> DataFrame:
+def write(docs: DataFrame, path: str, public_pattern: str, end_id: int, out_dir: str | None = None, sample: int = SAMPLE, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write all documents; the committed table of files: range_id, path, n_docs, n_ids."""
     spark, docs = docs.sparkSession, documents(docs)
     out_dir = out_dir or shared_dir(spark, "token-files")
     dictionary = train(docs, path, public_pattern, sample)
-    parts = max(8, shuffle_partitions(spark))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, shuffle_partitions(spark), -(-whole // file_bytes))
+    # a cut may be off by a tenth of a range
+    cuts = docs.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

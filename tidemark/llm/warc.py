@@ -1,7 +1,8 @@
 """WARC archives and their index: sorted capture runs, merged k ways by loser trees.
 
 ``write`` gives each task an archive of its own (one gzip member per record); payloads that were seen with
-a smaller page_id become revisit records. ``index`` reads the archives back, a sorted run of captures per
+a smaller page_id become revisit records. Which those are is told by digests alone; pages meet their verdicts by page_id, so
+a payload that many pages share gathers no pages in a task. ``index`` reads the archives back, a sorted run of captures per
 archive; ``merge`` cuts the key space (URL key, time, page) at sampled captures and merges, in each range,
 what every run has there: a run is entered by binary search over its bytes and left at the range's end.
 More runs than FAN_IN are first merged in groups, so a task has a bounded number of files open.
@@ -12,7 +13,9 @@ tasks leave no trace in results.
 Defined results: null html is an empty payload; a null url has the key "-"; a null page_id is kept, is never
 referred to, and is a response unless an equal payload has a page_id; of repeated rows with equal page_id
 and payload all are responses with that page_id if it is the smallest; an empty table gives an empty
-result; other columns are ignored. Without a capture time, page_id counts as seconds since 2020.
+result; payloads of any length are one record; other columns are ignored. Pages have no capture time of their own, so
+the size of page_id, modulo 2**31, counts as seconds since 2020. Captures with equal key and time go by page_id (none first),
+then by the rest of their line. Record ids hold the page_id, the archive and the record's place in it.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def url_key(url: str | None) -> str:
         slash, path = "/", f"?{query}"
     host = host.rpartition("@")[2].lower()
     name, colon, port = host.partition(":")
-    if colon and port not in ("", "80", "443"):
+    if colon and port not in ("", {"http": "80", "https": "443"}.get(scheme.lower() if mark else "")):
         name += f":{port}"
     return quote(",".join(reversed(name.split("."))) + ")/" + path, safe="!$&'()*+,;=:@/?%~-._[]")
 
@@ -64,12 +67,12 @@ def moment(page_id: int | None) -> datetime:
     return START + timedelta(seconds=abs(page_id or 0) % (1 << 31))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
-    """One WARC record as a gzip member; a revisit of page ``first`` if that is given."""
+def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, place: str = "0") -> bytes:
+    """One WARC record as a gzip member; a revisit of page ``first`` if that is given. ``place`` makes its id unique."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{place}>",
         f"WARC-Date: {moment(page_id):%Y-%m-%dT%H:%M:%SZ}",
         f"WARC-Payload-Digest: sha1:{digest_of(payload)}",
     ]
@@ -114,9 +117,13 @@ def write(pages: DataFrame, out_dir: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     out_dir = out_dir or shared_dir(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("same", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
-    # only payloads that occur more than once; counts and minima are combined before the shuffle
-    shared = rows.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    marked = rows.join(shared, "same", "left").select("page_id", "url", "html", F.expr("if(page_id is not distinct from first, null, first)").alias("first"))
+    # only payloads that occur more than once; counts and minima are combined before the shuffle, and written, so that a hot
+    # digest's narrow rows can be split
+    shared = materialize(rows.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first"), "warc-shared")
+    later = rows.select("same", "page_id").join(shared.hint("merge"), "same").where("page_id is distinct from first and first is not null")
+    seen = materialize(later.select("page_id", "same", "first").distinct(), "warc-revisits")
+    one = rows.alias("x").join(seen.alias("y").hint("merge"), F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.same") == F.col("y.same")), "left")
+    marked = one.select("x.page_id", "x.url", "x.html", "y.first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, size, n, done = None, "", 0, 0, []
@@ -125,7 +132,7 @@ def write(pages: DataFrame, out_dir: str | None = None) -> DataFrame:
                 if out is None:
                     name, size, n = f"{out_dir}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = create(name)
-                data = record(page_id, url, html.encode(), first)
+                data = record(page_id, url, html.encode(), first, f"{name.rpartition('/')[2][:32]}-{n}")
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= ROLL:
@@ -144,7 +151,7 @@ def write(pages: DataFrame, out_dir: str | None = None) -> DataFrame:
 def _line(path: str, at: int, size: int, fields: dict[str, str], payload: bytes) -> bytes:
     """A capture: key, time, page, then what the index tells of it; sorts by its bytes."""
     kind = fields["WARC-Type"]
-    page, refers = fields["WARC-Record-ID"][10:-1], fields.get("WARC-Refers-To", "<urn:page:>")[10:-1]
+    page, refers = fields["WARC-Record-ID"][10:-1].partition(":")[0], fields.get("WARC-Refers-To", "<urn:page:>")[10:-1]
     if kind == "response":
         length, digest = len(payload), digest_of(payload)
         if f"sha1:{digest}" != fields["WARC-Payload-Digest"]:
@@ -161,16 +168,19 @@ def index(archives: DataFrame, out_dir: str | None = None) -> list[tuple[str, in
     spark = archives.sparkSession
     out_dir = out_dir or shared_dir(spark, "captures")
     parts = max(8, shuffle_partitions(spark))
-    each = max(8, min(256, SAMPLES // max(1, archives.count())))
+    n_archives = max(1, archives.count())
+    # about SAMPLES captures in all: some of each archive, or one of some archives
+    each, skip = max(1, min(256, SAMPLES // n_archives)), -(-n_archives // SAMPLES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (path,) in rows_of(batch):
                 lines = sorted(_line(path, *x) for x in records(path))
+                taken = lines[:: max(1, len(lines) // each)] if zlib.crc32(path.encode()) % skip == 0 else []
                 name = f"{out_dir}/{uuid.uuid4().hex}.run"
                 with create(name) as out:
                     out.write(b"\n".join(lines) + b"\n")
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(lines)], pa.int64()), pa.array([lines[:: max(1, len(lines) // each)]], pa.list_(pa.binary()))], ["path", "n", "samples"])
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(lines)], pa.int64()), pa.array([taken], pa.list_(pa.binary()))], ["path", "n", "samples"])
 
     table = materialize(archives.select("path").repartition(parts, "path").mapInArrow(run, "path string, n long, samples array<binary>"), "captures-table")
     # per run a path and a few samples: as many rows as there are archives
@@ -275,7 +285,7 @@ def merge(spark, runs: list[tuple[str, int, list[bytes]]], fan_in: int = FAN_IN)
     while len(paths) > fan_in:
         paths = _merge_groups(spark, paths, fan_in)
     samples = sorted(x for _, _, s in runs for x in s)
-    cuts = sorted({samples[len(samples) * k // parts] for k in range(1, parts)})
+    cuts = sorted({samples[len(samples) * k // parts] for k in range(1, parts)}) if samples else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
