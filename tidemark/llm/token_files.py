@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import create, documents, materialize, open_random, rows_of, shared_dir, shuffle_partitions
+from .common import SLICE, create, documents, materialize, open_random, rows_of, shared_dir, shuffle_partitions
 
 MAGIC = b"TMTOKEN1"
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u8"), ("before", "<u8"), ("ids", "<u8")])
@@ -45,6 +45,13 @@ SAMPLE, SHORT = 1000, 1 << 16
 FILE_BYTES = 128 << 20
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable ones of Latin-1 by themselves, all others in order from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class IdEncoder:
     """Ids by the tokenizers library; those of each piece of its splitting pattern are kept, in a bounded table."""
 
@@ -60,23 +67,33 @@ class IdEncoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.split = splitter_of(public_pattern)
         self.pieces: dict[str, bytes] = {}
+        # a plain byte-level tokenizer's pieces can go to the library's model at once, in its letters
+        plain = type(self.library.pre_tokenizer).__name__ == "ByteLevel" and self.library.normalizer is None and self.library.post_processor is None
+        self.letters = byte_letters() if plain else None
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        if self.letters is None:
+            return [self._bytes(e.ids) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        tokenize = self.library.model.tokenize
+        return [self._bytes([t.id for t in tokenize(p.encode().decode("latin-1").translate(self.letters))]) for p in pieces]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # the library cuts these out first
-            return self._whole(text)
-        parts = self.split(text)
-        try:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        except KeyError:
-            known = self.pieces
-        missing = [p for p in dict.fromkeys(parts) if p not in known]
-        found = {p: np.array(e.ids, self.kind).tobytes() for p, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False))}
+        return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Pieces that aren't kept are encoded together."""
+        # the library cuts special tokens out first
+        parts = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
+        known = self.pieces
+        missing = list(set().union(*(p for p in parts if p)).difference(known))
+        found = dict(zip(missing, self._encoded(missing)))
         if len(known) < PIECES:  # frequent pieces come early; when the table is full, later ones are encoded each time
             known.update(found)
-        return b"".join([known.get(p) or found[p] for p in parts])
+            return [self._whole(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, parts)]
+        return [self._whole(t) if p is None else b"".join([known.get(x) or found[x] for x in p]) for t, p in zip(texts, parts)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -148,14 +165,17 @@ class Reader:
 
 def train(docs: DataFrame, path: str, public_pattern: str, sample: int = SAMPLE, size: int = 1 << 16) -> bytes:
     """A dictionary from the ids of ``sample`` short documents, those of least hash of doc_id; empty if too few."""
-    chosen = docs.where(F.octet_length("text") <= SHORT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    short = docs.where(F.octet_length("text") <= SHORT)
+    # the documents are chosen by their ids alone; of equal ids one text counts
+    chosen = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, public_pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encoder.encode(t) for _, t in rows_of(batch)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(encoder.encode_many(batch["text"].to_pylist()), pa.binary())], ["ids"])
 
-    ids = [bytes(r.ids) for r in chosen.mapInArrow(run, "ids binary").collect()]
+    ids = sorted(bytes(r.ids) for r in texts.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(size, ids).as_bytes()
     except zstandard.ZstdError:
@@ -178,10 +198,10 @@ def write(docs: DataFrame, path: str, public_pattern: str, end_id: int, out_dir:
         end = np.array([end_id], encoder.kind).tobytes()
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         bounds = np.array(cuts, np.int64)
+        encoded = lambda part: zip(part["doc_id"].to_pylist(), encoder.encode_many([t or "" for t in part["text"].to_pylist()]))
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in rows_of(batch):
-                ids = encoder.encode(text or "") + end
+            for doc_id, ids in ((d, x + end) for at in range(0, batch.num_rows, SLICE) for d, x in encoded(batch.slice(at, SLICE))):
                 rows.append((int(np.searchsorted(bounds, doc_id, "right")) if doc_id is not None else 0, doc_id, pack.compress(ids), len(ids) // encoder.width, hashlib.md5(ids).digest(), encoder.width))
             if rows:
                 a, b, c, d, e, f = zip(*rows)
