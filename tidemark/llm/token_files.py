@@ -164,11 +164,10 @@ class Reader:
 
 
 def train(docs: DataFrame, path: str, public_pattern: str, sample: int = SAMPLE, size: int = 1 << 16) -> bytes:
-    """A dictionary from the ids of ``sample`` short documents, those of least hash of doc_id; empty if too few."""
-    short = docs.where(F.octet_length("text") <= SHORT)
+    """A dictionary from the short ones of ``sample`` documents, those of least hash of doc_id; empty if too few."""
     # the documents are chosen by their ids alone; of equal ids one text counts
-    chosen = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    texts = docs.where(F.octet_length("text") <= SHORT).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, public_pattern)
