@@ -110,6 +110,47 @@ def test_quality_base_and_model(spark, docs, empty):
     assert sum(right) >= 0.95 * 2 * len(scored)
 
 
+def test_quality_bounds_hold_for_repeated_rows_and_large_texts(spark):
+    texts = [(i, prose(70, 500 + i) + (" vile" if i % 2 else "")) for i in range(60)]
+    rows = texts + texts[:5] * 40 + [(7, "another text of the same document " * 9), (None, prose(60, 1))]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in texts] * 3, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(*x, 1, True) for x in rows], "doc_id long, text string, quality int, kept boolean").repartition(4)
+    good, toxic = quality.train(quality.documents(docs), labels)
+    assert good.weights is None and toxic.weights is not None
+    # the same rows, in another order and repeated otherwise, give the same model
+    again = quality.train(quality.documents(docs.unionAll(docs).repartition(7)), labels)[1]
+    assert (again.weights == toxic.weights).all() and (again.bias, again.slope, again.shift) == (toxic.bias, toxic.slope, toxic.shift)
+    # too few bytes for any row: nothing is fitted and everything passes
+    assert quality.train(quality.documents(docs), labels, sample_bytes=10)[1].weights is None
+    assert quality.train(quality.documents(docs), labels, sample=10)[1].weights is None
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {r[0] for r in rows}
+
+
+def test_quality_on_held_out_labels():
+    """Accuracy and calibration on labels that the models haven't seen."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    sf, hashes = "/root/testdata/sf0.1", quality.WordHashes()
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    marks = sorted(pq.read_table(f"{sf}/labels.parquet").to_pylist(), key=lambda r: sha(str(r["doc_id"])))
+    marks = [m for m in marks if texts.get(m["doc_id"])]
+    rows = [quality.features(texts[m["doc_id"]].lower(), hashes) for m in marks]
+    n = 1500
+    for label, least in (("quality", 0.95), ("toxic", 0.95)):
+        y = np.array([m[label] for m in marks])
+        model = quality.fit(rows[:n], y[:n])
+        p = np.array([model.probability(*x, 1.0) for x in rows[n:]])
+        assert ((p >= 0.5) == (y[n:] == 1)).mean() >= least
+        # over bins of probability: how far the mean one is from the share of the label
+        bins = np.minimum((p * 5).astype(int), 4)
+        off = sum(abs(p[bins == b].mean() - y[n:][bins == b].mean()) * (bins == b).sum() for b in set(bins)) / len(p)
+        assert off < 0.05, (label, off)
+        if label == "toxic":
+            assert (p < quality.DROP_TOXIC)[y[n:] == 0].mean() >= 0.99
+
+
 def components_of(texts, k):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets, root = {}, {i: i for i, _ in texts}
@@ -425,6 +466,39 @@ def test_sharding(docs, empty):
         assert sorted(sharding.permute(x, n) for x in range(n)) == list(range(n))
 
 
+def test_sharding_takes_ties_and_clashing_columns(spark):
+    rows = [(1, "same", 1, "x")] * 7 + [(None, None, 1, "x")] * 3 + [(2, "same", 0, "y"), (None, "", 0, "y")]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string, shard int, _bucket string").repartition(4), 5).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 12 and max(counts.values()) - min(counts.get(k, 0) for k in range(5)) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(counts[k])) for k in counts)
+    assert Counter((r.doc_id, r.size) for r in got) == {(1, 12): 7, (None, 8): 4, (2, 12): 1}
+
+
+def test_licenses_take_nulls_and_clashing_columns(spark):
+    text = "Released under the MIT License."
+    rows = [(None, text, "a", 1), (1, text, "b", 2), (1, text, "b", 2), (2, None, "c", 3), (3, "", "c", 3), (4, f"{prose(20_000, 4)} {text} {prose(20_000, 5)}", "d", 4)]
+    got = sorted((str(r.doc_id), r.license, r.dice) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string, b int")).collect())
+    assert got == [("1", "MIT", 1.0), ("4", "MIT", 1.0), ("None", "MIT", 1.0)]
+
+
+def test_pipeline_takes_empty_and_odd_tables(spark, tmp_path):
+    sf, own = "/root/testdata/sf0.001", f"file://{tmp_path}"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{own}/{name}.parquet")
+    docs.limit(0).write.parquet(f"{own}/documents.parquet")
+    assert corpus_pipeline.run(spark, own).count() == 0
+    # no n_chars, columns named like what the stages use, a null doc_id and text; no labels and no test items
+    rows = [(1, prose(80, 1), "x", 1.0), (2, prose(80, 1), "y", 2.0), (None, prose(90, 2), "z", 3.0), (4, None, "z", 3.0), (5, "", "z", 3.0)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, found string, same double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd = stage(spark, odd, own)
+        assert odd.columns == ["doc_id", "text", "found", "same"], name
+        odd = spark.createDataFrame(odd.collect(), odd.schema)
+    assert sorted(map(str, (r.doc_id for r in odd.collect()))) == ["1", "None"]
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -33,7 +33,8 @@ from .common import documents, rows_of
 #: White space as Unicode's property has it; Python's \s also has the separators 1C to 1F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-STATES, PIECES, PAIRS = 25_000, 700_000, 500_000
+#: Bounds of the tables that a worker keeps: states, pieces' ids, neighbours that were tested.
+STATES, PIECES, PAIRS = 25_000, 400_000, 250_000
 
 
 def pattern_of(public: str) -> regex.Pattern:
