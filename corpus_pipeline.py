@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of documents; ``run`` writes each stage's rows to the shared
 folder and reads them again as the next one's input.
+
+Defined results: null, empty and short texts fail the base rules and go in the first stage; texts of any length are
+judged whole; of rows with an equal text the smallest doc_id stays, of repeated rows (equal doc_id) all do, and each row
+with a null doc_id; an empty table gives an empty result; without labels only the base rules count, without test
+items no document is dropped for one; other columns, whatever their names, are kept up to the last stage; ``n_chars``
+needn't be there.
 """
 
 from __future__ import annotations

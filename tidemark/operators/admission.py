@@ -21,6 +21,12 @@ def prefix_allowed(tenant: Column, collection: Column) -> Column:
     return F.startswith(collection, F.concat(tenant, F.lit(".")))
 
 
+def authenticated(requests: DataFrame, tenants: DataFrame) -> DataFrame:
+    """``requests`` with the ``tenant`` whose token they carry; NULL is a refusal. Tokens are unique; the policy table is joined as it comes."""
+    known = tenants.select(F.col("token"), F.col("name").alias("tenant"))
+    return requests.join(known, "token", "left")
+
+
 def quota(current: DataFrame, writes: DataFrame, max_docs: int) -> DataFrame:
     """Per collection: live documents, new ids among the writes, and whether they fit. Overwrites are free."""
     own = current.where(~F.col("deleted")).select("collection", "id")

@@ -672,6 +672,12 @@ def _(spark, d):
     return admission.tenant_usage(docs, tenants)
 
 
+@add("token_lookup", "SELECT event_id, CASE event_type WHEN 'click' THEN 'acme' WHEN 'view' THEN 'globex' END AS tenant FROM events")
+def _(spark, d):
+    tenants = spark.createDataFrame([("acme", "click"), ("globex", "view"), ("idle", "none")], "name string, token string")
+    return admission.authenticated(table(spark, d, "events").withColumnRenamed("event_type", "token"), tenants).select("event_id", "tenant")
+
+
 @add("tenant_admission", "WITH u AS (SELECT substr(event_type, 1, 1) AS name, count(*) AS used FROM events GROUP BY 1), t AS (SELECT * FROM (VALUES ('c', 10, 1), ('v', 100000000, 5), ('zz', 5, 5), ('e', 0, 9)) AS t(name, most, delta)) SELECT t.name, coalesce(used, 0) AS used, CAST(delta AS BIGINT) AS delta, most <= 0 OR coalesce(used, 0) + delta <= most AS admitted FROM t LEFT JOIN u USING (name)")
 def _(spark, d):
     docs = table(spark, d, "events").select(F.concat(F.substring("event_type", 1, 1), F.lit(".docs")).alias("collection"), F.lit(False).alias("deleted"))

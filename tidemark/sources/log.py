@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 DOCUMENT = "collection string, id string, ver long, ts long, deleted boolean, fields variant"
 MARK = "ENC1:"
+#: Documents in a batch record, at most; they lie next to each other in one task.
+BATCH = 1000
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -52,11 +54,11 @@ def to_line(df: DataFrame) -> Column:
 
 
 def write_log(docs: DataFrame, path: str, key_hex: str | None = None, *, batch: bool = False) -> None:
-    """Append documents as lines, or as one batch record per task. Spark commits the new files together."""
+    """Append documents as lines, or as batch records of at most BATCH documents. Spark commits the new files together."""
     line = to_line(docs)
     out = docs.select(line.alias("line"))
     if batch:
-        out = out.groupBy(F.spark_partition_id().alias("p")).agg(F.concat(F.lit('{"batch":['), F.array_join(F.collect_list("line"), ","), F.lit("]}")).alias("line")).select("line")
+        out = out.groupBy(F.floor(F.monotonically_increasing_id() / BATCH).alias("p")).agg(F.concat(F.lit('{"batch":['), F.array_join(F.collect_list("line"), ","), F.lit("]}")).alias("line")).select("line")
     if key_hex:
         out = out.select(encrypted(F.col("line"), key_hex).alias("line"))
     out.write.mode("append").text(path)
