@@ -153,6 +153,41 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM n"""
 
 
+def _leaks_sql() -> str:
+    """Every item scored against every passage of its length class; what reaches the limit is verified."""
+    d = decontaminate
+    words = lambda text: f"regexp_extract_all(lower({text}), '[\\pL\\pN_]+')"
+    mark, stop = r"(?im)^\s*(?:answer|a)\s*:", r"[.!?]\s+"
+    last = lambda text, pattern: f"string_split_regex({text}, '{pattern}')[-1]"
+    runs = lambda part: f"list_transform(range(1, len({part}) - n + 2), lambda i: array_to_string({part}[i:i + n - 1], ' '))"
+
+    def covered(part: str) -> str:
+        own = f"(SELECT {runs('own')} AS mine, {runs('passage')} AS there, len(own) AS m, n FROM (SELECT {part} AS own, passage, least({d.GRAM}, greatest(1, len({part}) // 2)) AS n))"
+        hit = "len(list_filter(range(greatest(1, j - n + 1), least(j, m - n + 1) + 1), lambda i: list_contains(there, mine[i]))) > 0"
+        return f"(SELECT CASE WHEN m = 0 THEN 1.0 ELSE len(list_filter(range(1, m + 1), lambda j: {hit})) / m END FROM {own})"
+
+    return f"""WITH t AS (SELECT row_number() OVER () AS iid, item_id, text, regexp_replace(text, '\\s+$', '') AS r, {words('text')} AS ws FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT iid, item_id, ws, CAST(pow(2, ceil(log2(len(ws)))) AS BIGINT) AS size,
+ CASE WHEN regexp_matches(text, '{mark}') THEN {words(f"left(text, length(text) - length({last('text', mark)}) - length(regexp_extract_all(text, '{mark}')[-1]))")}
+  WHEN regexp_matches(r, '{stop}') THEN {words(f"left(r, length(r) - length({last('r', stop)}))")} ELSE ws[1:len(ws) - len(ws) // 4] END AS question,
+ CASE WHEN regexp_matches(text, '{mark}') THEN {words(last('text', mark))} WHEN regexp_matches(r, '{stop}') THEN {words(last('r', stop))} ELSE ws[len(ws) - len(ws) // 4 + 1:] END AS answer
+ FROM t WHERE len(ws) > 0),
+n AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM i),
+c AS (SELECT iid, w, count(*) AS f FROM (SELECT iid, unnest(ws) AS w FROM i) GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM c GROUP BY w),
+x AS (SELECT iid, size, w, ln(1 + (n - df + 0.5) / (df + 0.5)) * f * {d.K1 + 1} / (f + {d.K1} * ({1 - d.B} + {d.B} * len(ws) / mean)) AS impact FROM c JOIN df USING (w) JOIN i USING (iid), n),
+share AS (SELECT iid, size, w, impact / sum(impact) OVER (PARTITION BY iid) AS part FROM x),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {words("coalesce(text, '')")} AS ws FROM documents),
+d AS (SELECT rid, len(ws) AS m, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM docs),
+ch AS (SELECT DISTINCT rid, m, size, pos // size AS ch, w FROM d JOIN (SELECT DISTINCT w, size FROM share) USING (w)),
+pw AS (SELECT DISTINCT rid, size, w, unnest([ch - 1, ch]) AS p, m FROM ch),
+hits AS (SELECT rid, iid, p, sum(part) AS score FROM pw JOIN share USING (size, w) WHERE p >= 0 AND p < greatest(1, (m + size - 1) // size - 1) GROUP BY ALL HAVING sum(part) >= {d.LIMIT} - 1e-9),
+cand AS (SELECT rid, iid, doc_id, item_id, score, p * size AS first_word, question, answer, docs.ws[p * size + 1:(p + 2) * size] AS passage FROM hits JOIN i USING (iid) JOIN docs USING (rid)),
+v AS (SELECT *, {covered('question')} AS q, {covered('answer')} AS a FROM cand),
+b AS (SELECT *, row_number() OVER (PARTITION BY rid, iid ORDER BY round(score, 11) DESC, first_word) AS rn FROM v WHERE q >= {d.VERIFY} AND a >= {d.VERIFY})
+SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, CAST(first_word AS BIGINT) AS first_word FROM b WHERE rn = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole result; the other queries are tested against brute force."""
-    return {"op3_minhash_near_dedup": NEAR_SQL, "op4_substring_dedup": REPEATS_SQL, "op8_secret_scan": _secrets_sql(), "op9_warc_histories": HISTORIES_SQL, "op10_feistel_sharding": _shards_sql()}
+    return {"op3_minhash_near_dedup": NEAR_SQL, "op4_substring_dedup": REPEATS_SQL, "op6_decontamination": _leaks_sql(), "op8_secret_scan": _secrets_sql(), "op9_warc_histories": HISTORIES_SQL, "op10_feistel_sharding": _shards_sql()}
