@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.variant import fnv1a
 from ..operators import admission, filters, index, lww, migrate, partition, placement, query, replicas
 from ..sources import log as source
+from ..sources.scratch import new_folder
 from ..streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -490,9 +491,96 @@ def _(spark, d):
 
 @add("encrypted_round_trip", "SELECT event_id, props FROM events")
 def _(spark, d):
-    key = "00112233445566778899aabbccddeeff" * 2
-    lines = table(spark, d, "events").select("event_id", source.encrypted(F.col("props"), key).alias("line"))
-    return lines.select("event_id", source.decrypted(F.col("line"), key).alias("props"))
+    lines = table(spark, d, "events").select("event_id", source.encrypted(F.col("props"), KEY).alias("line"))
+    return lines.select("event_id", source.decrypted(F.col("line"), KEY).alias("props"))
+
+
+# --- files: each query writes what it then reads, in a new shared folder ---
+
+KEY = "00112233445566778899aabbccddeeff" * 2
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version log with VARIANT documents."""
+    return version_log(spark, sf_dir).withColumn("fields", F.to_variant_object(F.struct("event_type", "value")))
+
+
+@add("log_files", f"{LOG} SELECT {', '.join(HEAD)}, event_type FROM current")
+def _(spark, d):
+    path, log = new_folder(spark, "log"), stored_log(spark, d)
+    source.write_log(log.where("replica = 0"), path)
+    source.write_log(log.where("replica = 1"), path, batch=True)
+    source.write_log(log.where("replica = 2"), path, KEY)
+    held = lww.lww(source.read_log(spark, path, KEY), "at")
+    return held.select(*HEAD, F.try_variant_get("fields", "$.event_type", "string").alias("event_type"))
+
+
+@add("backup_restore", f"{LOG} SELECT {', '.join(HEAD)} FROM current")
+def _(spark, d):
+    path, log = new_folder(spark, "backup"), stored_log(spark, d)
+    source.backup(lww.lww(log, "event_id"), path)
+    return lww.lww(source.restore(log.where("replica = 0"), spark, path)).select(*HEAD)
+
+
+@add("raw_archive", "SELECT count(*) AS lines FROM events WHERE event_id % 3 = 1")
+def _(spark, d):
+    path = new_folder(spark, "log")
+    source.write_log(stored_log(spark, d).where("replica = 1"), path)
+    out = source.archive_name(path, 1_600_000_000_000)
+    source.archive(path, out, spark)
+    return spark.read.text(out).agg(F.count("*").alias("lines"))
+
+
+@add("feed_files", f"{_FEED} SELECT * FROM feed")
+def _(spark, d):
+    path = new_folder(spark, "feed")
+    change_feed(spark, d).select(F.to_json(F.struct("*"))).write.text(path)
+    return source.read_feed(spark, path)
+
+
+@add("hint_files", "SELECT 'n' || event_id % 3 AS target, CAST(user_id AS VARCHAR) AS id, CAST(event_id % 7 AS INTEGER) AS attempts, event_id * 10 AS next_retry FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0")
+def _(spark, d):
+    path = new_folder(spark, "hints")
+    doc = F.struct(F.lit("users").alias("collection"), F.col("user_id").cast("string").alias("id"), F.lit(1).alias("ver"), F.lit(2).alias("ts"))
+    target = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")))
+    line = F.to_json(F.struct(target.alias("target"), doc.alias("doc"), (F.col("event_id") % 7).alias("attempts"), (F.col("event_id") * 10).alias("next_retry")))
+    table(spark, d, "events").select(F.when(F.col("event_id") % 10 == 0, '{"target":').otherwise(line)).write.text(path)
+    return source.read_hints(spark, path).select("target", "id", "attempts", "next_retry")
+
+
+@add("tenant_file", "SELECT * FROM (VALUES ('acme', 3), ('globex', 0)) AS t(name, max_docs)")
+def _(spark, d):
+    tenants = source.load_tenants('[{"name": "acme", "token": "a", "max_docs": 3}, {"name": "globex", "token": "g"}]')
+    return spark.createDataFrame([(t["name"], t.get("max_docs", 0)) for t in tenants], "name string, max_docs int")
+
+
+def _feed_files(spark: SparkSession, d: str) -> str:
+    path = new_folder(spark, "feed")
+    log = version_log(spark, d)
+    events = log.select(F.col("event_id").alias("seq"), "ts", "collection", "id", F.when(F.col("deleted"), "delete").otherwise("upsert").alias("kind"), F.when(~F.col("deleted"), F.col("event_type")).alias("value"))
+    for part in (0, 1):
+        events.where(F.col("seq") % 2 == part).write.mode("append").json(path)
+    return path
+
+
+@add("gsi_streamed", f"{LOG}, newest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn FROM log) SELECT id, event_type AS value FROM newest WHERE rn = 1 AND NOT deleted")
+def _(spark, d):
+    out, checkpoint = new_folder(spark, "index"), new_folder(spark, "stream")
+    feed.maintain_index(spark, _feed_files(spark, d), out, checkpoint, "by_type").awaitTermination()
+    return feed.index_state(spark, out).select("id", "value")
+
+
+@add("feed_watched", f"{_FEED} SELECT seq, kind FROM feed WHERE seq > 500")
+def _(spark, d):
+    out, checkpoint = new_folder(spark, "watched"), new_folder(spark, "stream")
+    job = feed.watch(spark, _feed_files(spark, d), "users", 500).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema("event string").parquet(out).select(F.get_json_object("event", "$.seq").cast("long").alias("seq"), F.get_json_object("event", "$.kind").alias("kind"))
+
+
+@add("feed_numbered", "SELECT event_id, 40 + row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
+def _(spark, d):
+    return feed.numbered(table(spark, d, "events").select("ts", "event_id"), 40, [F.col("ts"), F.col("event_id")]).select("event_id", "seq")
 
 
 # --- migration of VARIANT documents: each from its own version on; a retype that can't be done leaves the value ---

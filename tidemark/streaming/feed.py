@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_root
+
 RETAIN_EVENTS, RETAIN_MS = 10_000, 300_000
 EVENT = "seq long, ts long, collection string, id string, kind string, value string"
 
@@ -35,12 +35,7 @@ def _kept(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept where all executors see them (spark.checkpoint.dir; a local session makes a folder)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="tidemark-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
