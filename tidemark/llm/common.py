@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder as shared_dir
+
 #: Code points that separate words: space and TAB to CR. bytes.split() splits on just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,17 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 256
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path under ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; a cluster must name one that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)

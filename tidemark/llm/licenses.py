@@ -225,10 +225,11 @@ def scan(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
         "transform(array(split(u.part, ' +')), v -> if(u.kind > 0 and size(array_distinct(v)) - 1 > "
         f"{high!r}D, array(), array_distinct(zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v) - 1), (x, y) -> concat(x, ' ', y)))))[0]"
     )
+    lines, paragraphs = r"split(text, '\n', -1)", r"split(text, r'\n *\n', -1)"
     units = (
-        f"concat({part(0, chr(39).join(['split(text, ', chr(92) + 'n', ', -1)']))}, "
-        f"if(text rlike r'\n *\n', {part(1, chr(39).join(['split(text, r', chr(92) + 'n *' + chr(92) + 'n', ', -1)']))}, array()), "
-        f"if(instr(text, '\\n') > 0, {part(2, 'array(text)')}, array()))"
+        f"concat({part(0, lines)}, "
+        rf"if(text rlike r'\n *\n', {part(1, paragraphs)}, array()), "
+        rf"if(instr(text, '\n') > 0, {part(2, 'array(text)')}, array()))"
     )
     worded = f"filter({units}, u -> char_length(u.part) - char_length(replace(u.part, ' ', '')) >= {low!r}D)"
     made = f"transform({worded}, u -> named_struct('kind', u.kind, 'no', u.no, 'b', {grams}))"

@@ -162,7 +162,10 @@ def _leaks_sql() -> str:
     runs = lambda part: f"list_transform(range(1, len({part}) - n + 2), lambda i: array_to_string({part}[i:i + n - 1], ' '))"
 
     def covered(part: str) -> str:
-        own = f"(SELECT {runs('own')} AS mine, {runs('passage')} AS there, len(own) AS m, n FROM (SELECT {part} AS own, passage, least({d.GRAM}, greatest(1, len({part}) // 2)) AS n))"
+        own = (
+            f"(SELECT {runs('own')} AS mine, {runs('passage')} AS there, len(own) AS m, n FROM (SELECT {part} AS own, passage, least({d.GRAM}, "
+            f"greatest(1, len({part}) // 2)) AS n))"
+        )
         hit = "len(list_filter(range(greatest(1, j - n + 1), least(j, m - n + 1) + 1), lambda i: list_contains(there, mine[i]))) > 0"
         return f"(SELECT CASE WHEN m = 0 THEN 1.0 ELSE len(list_filter(range(1, m + 1), lambda j: {hit})) / m END FROM {own})"
 

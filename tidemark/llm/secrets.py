@@ -92,12 +92,21 @@ def _windows(candidate: str) -> str:
     count = lambda start, length, place: f"size(filter(slice(c, {start}, {length}), v -> v = c[{place}]))"
     # the first window of a chunk is summed up; each next one, at i, lacks character i - 1 and has character i + w - 1 more
     first = f"aggregate(sequence(0, {w - 1}), 0D, (t, j) -> t + log2({count('b + 1', w, 'b + j')}))"
-    moved = f"a.t + {term(count('i + 1', w, f'i + {w} - 1'))} - {term(count('i + 1', w - 1, f'i + {w} - 1'))} + {term(count('i + 1', w - 1, 'i - 1'))} - {term(count('i', w, 'i - 1'))}"
+    moved = (
+        f"a.t + {term(count('i + 1', w, f'i + {w} - 1'))} - {term(count('i + 1', w - 1, f'i + {w} - 1'))} + {term(count('i + 1', w - 1, 'i - 1'))} "
+        f"- {term(count('i', w, 'i - 1'))}"
+    )
     full = f"{math.log2(w)}D - x.t / {w} >= {{limit}}"
     step = f"transform(array(if(i = b, a.t, {moved})), t -> named_struct('t', t, 'out', array_append(a.out, named_struct('i', i, 't', t))))[0]"
-    chunk = f"aggregate(sequence(b, least(b + {CHUNK - 1}, size(c) - {w})), named_struct('t', {first}, 'out', cast(array() as array<struct<i:int,t:double>>)), (a, i) -> {step}).out"
+    chunk = (
+        f"aggregate(sequence(b, least(b + {CHUNK - 1}, size(c) - {w})), named_struct('t', {first}, 'out', cast(array() as array<struct<i:int,t:double>>)), "
+        f"(a, i) -> {step}).out"
+    )
     every = f"flatten(transform(sequence(0, size(c) - {w}, {CHUNK}), b -> {chunk}))"
-    limit = f"case when {candidate} rlike '^[0-9a-f]+$' or {candidate} rlike '^[0-9A-F]+$' then {LIMITS['hex']}D when {candidate} rlike '^[0-9a-z]+$' then {LIMITS['base36']}D else {LIMITS['base64']}D end"
+    limit = (
+        f"case when {candidate} rlike '^[0-9a-f]+$' or {candidate} rlike '^[0-9A-F]+$' then {LIMITS['hex']}D when {candidate} rlike "
+        f"'^[0-9a-z]+$' then {LIMITS['base36']}D else {LIMITS['base64']}D end"
+    )
     at = f"transform(filter({every}, x -> {full.format(limit='k.limit')}), x -> x.i)"
     clear = "if(size(k.bad) = 0, f, filter(f, i -> not exists(k.bad, y -> y.s < i + {w} and i < y.e)))".replace("{w}", str(w))
     # windows that touch are one span: it starts where there is none close before, and ends where there is none close after
