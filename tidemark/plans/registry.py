@@ -95,7 +95,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.find(orders, wanted, sort="o_totalprice", desc=True, limit=10, id=F.col("o_orderkey").cast("string")).select(*ORDER)
 
 
-add("find_top_orders", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice >= 100000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_totalprice DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR) LIMIT 10")(flagship)
+add("find_top_orders",
+    "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_totalprice >= 100000 AND o_orderpriority "
+    "IN ('1-URGENT', '2-HIGH') ORDER BY o_totalprice DESC NULLS FIRST, CAST(o_orderkey AS VARCHAR) LIMIT 10")(flagship)
 
 
 @add("sort_asc_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice ASC NULLS LAST, CAST(o_orderkey AS VARCHAR) LIMIT 20 OFFSET 40")
@@ -128,7 +130,9 @@ def _(spark, d):
     return query.multi_get(table(spark, d, "customer"), [3, 7, 11, 99999999], "c_custkey").select("c_custkey", "c_name")
 
 
-@add("stringly_filter_sort", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR) LIMIT 40")
+@add("stringly_filter_sort",
+    "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY CAST(o_custkey AS VARCHAR), CAST(o_orderkey "
+    "AS VARCHAR) LIMIT 40")
 def _(spark, d):
     return query.compute_query(table(spark, d, "orders"), {"o_orderstatus": "F"}, "o_custkey", 40, F.col("o_orderkey").cast("string")).select("o_orderkey", "o_custkey", "o_orderstatus")
 
@@ -192,35 +196,47 @@ def _(spark, d):
     return lww.compact(version_log(spark, d), _middle(spark, d), 1000, "event_id").select(*HEAD)
 
 
-@add("pitr_at", f"{LOG}, old AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC, ts DESC, event_id) AS rn FROM log WHERE ts <= {UNTIL}) SELECT {', '.join(HEAD)} FROM old WHERE rn = 1")
+@add("pitr_at",
+    f"{LOG}, old AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC, ts DESC, event_id) AS rn FROM log WHERE ts "
+    f"<= {UNTIL}) SELECT {', '.join(HEAD)} FROM old WHERE rn = 1")
 def _(spark, d):
     return lww.point_in_time(version_log(spark, d), _middle(spark, d), "event_id").select(*HEAD)
 
 
-@add("pitr_applied_count", f"{LOG}, seen AS (SELECT ver, ts, max(ver) OVER (PARTITION BY id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM log WHERE ts <= {UNTIL}) SELECT count(*) AS applied FROM seen WHERE best IS NULL OR ver > best")
+@add("pitr_applied_count",
+    f"{LOG}, seen AS (SELECT ver, ts, max(ver) OVER (PARTITION BY id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 "
+    f"PRECEDING) AS best FROM log WHERE ts <= {UNTIL}) SELECT count(*) AS applied FROM seen WHERE best IS NULL OR ver > best")
 def _(spark, d):
     return lww.applied_count(version_log(spark, d), _middle(spark, d), "event_id")
 
 
-@add("upsert_batch", f"{LOG}, docs AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS id FROM events) SELECT 'users' AS collection, d.id, coalesce(c.ver, 0) + 1 AS ver, CAST(5 AS BIGINT) AS ts, false AS deleted FROM docs d LEFT JOIN current c ON c.id = d.id")
+@add("upsert_batch",
+    f"{LOG}, docs AS (SELECT DISTINCT CAST(user_id % 40 AS VARCHAR) AS id FROM events) SELECT 'users' AS collection, d.id, coalesce(c.ver, "
+    f"0) + 1 AS ver, CAST(5 AS BIGINT) AS ts, false AS deleted FROM docs d LEFT JOIN current c ON c.id = d.id")
 def _(spark, d):
     docs = table(spark, d, "events").select(F.lit("users").alias("collection"), (F.col("user_id") % 40).cast("string").alias("id")).distinct()
     return lww.upsert(version_log(spark, d), docs, 5).select(*HEAD)
 
 
-@add("tombstone_delete", f"{LOG}, docs AS (SELECT DISTINCT CAST(user_id % 25 AS VARCHAR) AS id FROM events) SELECT 'users' AS collection, d.id, coalesce(c.ver, 0) + 1 AS ver, CAST(9 AS BIGINT) AS ts, true AS deleted FROM docs d LEFT JOIN current c ON c.id = d.id")
+@add("tombstone_delete",
+    f"{LOG}, docs AS (SELECT DISTINCT CAST(user_id % 25 AS VARCHAR) AS id FROM events) SELECT 'users' AS collection, d.id, coalesce(c.ver, "
+    f"0) + 1 AS ver, CAST(9 AS BIGINT) AS ts, true AS deleted FROM docs d LEFT JOIN current c ON c.id = d.id")
 def _(spark, d):
     keys = table(spark, d, "events").select(F.lit("users").alias("collection"), (F.col("user_id") % 25).cast("string").alias("id")).distinct()
     return lww.delete(version_log(spark, d), keys, 9).select(*HEAD)
 
 
-@add("would_change", f"{LOG}, inc AS (SELECT * FROM log WHERE replica = 1), old AS (SELECT id, max(ver) AS v FROM log WHERE replica <> 1 GROUP BY id) SELECT i.id, i.ver, (o.v IS NULL OR i.ver > o.v) AS changes FROM inc i LEFT JOIN old o ON o.id = i.id")
+@add("would_change",
+    f"{LOG}, inc AS (SELECT * FROM log WHERE replica = 1), old AS (SELECT id, max(ver) AS v FROM log WHERE replica <> 1 GROUP "
+    f"BY id) SELECT i.id, i.ver, (o.v IS NULL OR i.ver > o.v) AS changes FROM inc i LEFT JOIN old o ON o.id = i.id")
 def _(spark, d):
     log = version_log(spark, d)
     return lww.would_change(log.where("replica <> 1"), log.where("replica = 1")).select("id", "ver", "changes")
 
 
-@add("collection_stats", f"{LOG} SELECT collection, (SELECT count(*) FILTER (NOT deleted) FROM current) AS live, (SELECT count(*) FROM current) AS docs, count(*) FILTER (NOT deleted) AS writes, count(*) FILTER (deleted) AS deletes FROM log GROUP BY collection")
+@add("collection_stats",
+    f"{LOG} SELECT collection, (SELECT count(*) FILTER (NOT deleted) FROM current) AS live, (SELECT count(*) FROM current) AS "
+    f"docs, count(*) FILTER (NOT deleted) AS writes, count(*) FILTER (deleted) AS deletes FROM log GROUP BY collection")
 def _(spark, d):
     return lww.collection_stats(version_log(spark, d))
 
@@ -230,14 +246,22 @@ def _(spark, d):
     return lww.count_under(version_log(spark, d), "us")
 
 
-_SPLIT = f"{LOG}, a AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS rn FROM log WHERE replica = 0) WHERE rn = 1), b AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS rn FROM log WHERE replica = 1) WHERE rn = 1)"
+_SPLIT = (
+    f"{LOG}, a AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS rn FROM log WHERE "
+    f"replica = 0) WHERE rn = 1), b AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) "
+    f"AS rn FROM log WHERE replica = 1) WHERE rn = 1)"
+)
 
 
 def _replica(spark: SparkSession, d: str, k: int) -> DataFrame:
     return lww.lww(version_log(spark, d).where(F.col("replica") == k), "event_id")
 
 
-@add("replicated_apply", f"{LOG}, inc AS (SELECT *, max(ver) OVER (PARTITION BY id ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM log WHERE replica = 1), old AS (SELECT id, max(ver) AS v FROM log WHERE replica <> 1 GROUP BY id) SELECT i.id, i.ver FROM inc i LEFT JOIN old o ON o.id = i.id WHERE (seen IS NULL OR ver > seen) AND (v IS NULL OR ver > v)")
+@add("replicated_apply",
+    f"{LOG}, inc AS (SELECT *, max(ver) OVER (PARTITION BY id ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING "
+    f"AND 1 PRECEDING) AS seen FROM log WHERE replica = 1), old AS (SELECT id, max(ver) AS v FROM log WHERE replica <> 1 GROUP "
+    f"BY id) SELECT i.id, i.ver FROM inc i LEFT JOIN old o ON o.id = i.id WHERE (seen IS NULL OR ver > seen) AND (v IS NULL OR "
+    f"ver > v)")
 def _(spark, d):
     log = version_log(spark, d)
     incoming = log.where("replica = 1").withColumn("came", F.struct(F.col("event_id") % 97, "event_id"))
@@ -250,7 +274,11 @@ def _(spark, d):
     return lww.applied(log, log, "event_id").agg(F.count("*").alias("n"))
 
 
-@add("anti_entropy_sync", f"{_SPLIT} SELECT CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN 'right' ELSE 'left' END AS to, 'users' AS collection, coalesce(a.id, b.id) AS id, greatest(a.ver, b.ver) AS ver, CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN a.ts ELSE b.ts END AS ts, CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN a.deleted ELSE b.deleted END AS deleted FROM a FULL JOIN b ON a.id = b.id WHERE a.ver IS DISTINCT FROM b.ver")
+@add("anti_entropy_sync",
+    f"{_SPLIT} SELECT CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN 'right' ELSE 'left' END AS to, 'users' AS collection, coalesce(a.id, "
+    f"b.id) AS id, greatest(a.ver, b.ver) AS ver, CASE WHEN b.ver IS NULL OR a.ver > b.ver THEN a.ts ELSE b.ts END AS ts, CASE "
+    f"WHEN b.ver IS NULL OR a.ver > b.ver THEN a.deleted ELSE b.deleted END AS deleted FROM a FULL JOIN b ON a.id = b.id WHERE "
+    f"a.ver IS DISTINCT FROM b.ver")
 def _(spark, d):
     return lww.sync(_replica(spark, d, 0), _replica(spark, d, 1))
 
@@ -275,17 +303,25 @@ def _(spark, d):
 # --- replicas -------------------------------------------------------------------------------------------
 
 
-@add("quorum_read", f"{LOG} SELECT collection, id, max(ver) AS ver, arg_max(ts, ver) AS ts, arg_max(deleted, ver) AS deleted, count(DISTINCT replica) AS answered, count(DISTINCT replica) >= 2 AS quorum FROM log GROUP BY collection, id")
+@add("quorum_read",
+    f"{LOG} SELECT collection, id, max(ver) AS ver, arg_max(ts, ver) AS ts, arg_max(deleted, ver) AS deleted, count(DISTINCT replica) "
+    f"AS answered, count(DISTINCT replica) >= 2 AS quorum FROM log GROUP BY collection, id")
 def _(spark, d):
     return lww.quorum_read(version_log(spark, d), 3)
 
 
-@add("read_repair", f"{LOG}, newest AS (SELECT id, max(ver) AS ver, arg_max(ts, ver) AS ts FROM log GROUP BY id), held AS (SELECT replica, id, max(ver) AS own FROM log GROUP BY replica, id) SELECT r.replica, 'users' AS collection, n.id, n.ver, n.ts FROM newest n CROSS JOIN (SELECT unnest([0, 1, 2]) AS replica) r LEFT JOIN held h ON h.id = n.id AND h.replica = r.replica WHERE h.own IS NULL OR h.own < n.ver")
+@add("read_repair",
+    f"{LOG}, newest AS (SELECT id, max(ver) AS ver, arg_max(ts, ver) AS ts FROM log GROUP BY id), held AS (SELECT replica, id, "
+    f"max(ver) AS own FROM log GROUP BY replica, id) SELECT r.replica, 'users' AS collection, n.id, n.ver, n.ts FROM newest n "
+    f"CROSS JOIN (SELECT unnest([0, 1, 2]) AS replica) r LEFT JOIN held h ON h.id = n.id AND h.replica = r.replica WHERE h.own "
+    f"IS NULL OR h.own < n.ver")
 def _(spark, d):
     return lww.read_repair(version_log(spark, d).withColumn("replica", F.col("replica").cast("int")), [0, 1, 2])
 
 
-@add("write_quorum", "SELECT user_id AS write_id, count(*) FILTER (event_type <> 'error') AS acks, count(*) FILTER (event_type <> 'error') >= 60 AS ok, true AS applied FROM events GROUP BY user_id")
+@add("write_quorum",
+    "SELECT user_id AS write_id, count(*) FILTER (event_type <> 'error') AS acks, count(*) FILTER (event_type <> 'error') >= "
+    "60 AS ok, true AS applied FROM events GROUP BY user_id")
 def _(spark, d):
     acks = table(spark, d, "events").select(F.col("user_id").alias("write_id"), (F.col("event_type") != "error").alias("acked"))
     return lww.write_quorum(acks, 60)
@@ -314,8 +350,15 @@ def _(spark, d):
     return replicas.root(_leaves(lww.lww(version_log(spark, d), "event_id")))
 
 
-_SIDES = f"{LOG}, a AS (SELECT id, max(ver) AS ver, arg_max(ts, ver) AS ts FROM log WHERE replica = 0 GROUP BY id), b AS (SELECT id, max(ver) AS ver, arg_max(ts, ver) AS ts FROM log WHERE replica = 1 GROUP BY id), x AS (SELECT id, {LEAF} AS h FROM a), y AS (SELECT id, {LEAF} AS h FROM b)"
-_DIFF = f"{_SIDES} SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.h IS NULL THEN 'right' WHEN y.h IS NULL THEN 'left' ELSE 'both' END AS side FROM x FULL JOIN y ON x.id = y.id WHERE x.h IS DISTINCT FROM y.h"
+_SIDES = (
+    f"{LOG}, a AS (SELECT id, max(ver) AS ver, arg_max(ts, ver) AS ts FROM log WHERE replica = 0 GROUP BY id), b AS (SELECT id, "
+    f"max(ver) AS ver, arg_max(ts, ver) AS ts FROM log WHERE replica = 1 GROUP BY id), x AS (SELECT id, {LEAF} AS h FROM a), y "
+    f"AS (SELECT id, {LEAF} AS h FROM b)"
+)
+_DIFF = (
+    f"{_SIDES} SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.h IS NULL THEN 'right' WHEN y.h IS NULL THEN 'left' ELSE 'both' "
+    f"END AS side FROM x FULL JOIN y ON x.id = y.id WHERE x.h IS DISTINCT FROM y.h"
+)
 
 
 @add("anti_entropy_diff", _DIFF)
@@ -332,7 +375,10 @@ def _(spark, d):
 
 # --- partitions and indexes -----------------------------------------------------------------------------
 
-_LINE = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 56 AND lpad(CAST(l_linenumber AS VARCHAR), 3, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0')"
+_LINE = (
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 56 AND lpad(CAST(l_linenumber AS VARCHAR), "
+    "3, '0') || '-' || lpad(CAST(l_partkey AS VARCHAR), 9, '0')"
+)
 
 
 def _lines(spark, d, **bounds):
@@ -356,7 +402,9 @@ def _(spark, d):
     return ids.select("id", partition.partition_part(F.col("id")).alias("pk"), partition.sort_part(F.col("id")).alias("sort"))
 
 
-@add("partition_write_check", "SELECT conv_id || '|' || turn AS id, CASE WHEN turn % 2 = 1 THEN 'the id''s prefix is not the partition field' END AS problem FROM conversations")
+@add("partition_write_check",
+    "SELECT conv_id || '|' || turn AS id, CASE WHEN turn % 2 = 1 THEN 'the id''s prefix is not the partition field' END AS problem "
+    "FROM conversations")
 def _(spark, d):
     docs = table(spark, d, "conversations").select(F.concat_ws("|", "conv_id", "turn").alias("id"), (F.col("conv_id") + F.col("turn") % 2).alias("room"))
     return partition.check_ids(docs, "room").select("id", "problem")
@@ -365,7 +413,9 @@ def _(spark, d):
 _INDEX_FIELDS = ["p_brand", "p_size"]
 
 
-@add("inverted_postings", "SELECT 'p_brand' AS field, '\"' || p_brand || '\"' AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY p_size")
+@add("inverted_postings",
+    "SELECT 'p_brand' AS field, '\"' || p_brand || '\"' AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'p_size', "
+    "CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY p_size")
 def _(spark, d):
     return index.postings(index.entries(table(spark, d, "part"), F.col("p_partkey").cast("string"), _INDEX_FIELDS)).select("field", "value", F.size("ids").cast("long").alias("n"))
 
@@ -415,7 +465,9 @@ def _(spark, d):
     return index.definitions_of(_declared(spark), "props")
 
 
-@add("gsi_backfill_declared", "SELECT 'by_type' AS name, count(*) AS n FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'by_k', count(*) FROM events WHERE event_id % 3 <> 0")
+@add("gsi_backfill_declared",
+    "SELECT 'by_type' AS name, count(*) AS n FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'by_k', count(*) FROM events "
+    "WHERE event_id % 3 <> 0")
 def _(spark, d):
     return index.backfill(props(spark, d), _declared(spark)).groupBy("name").agg(F.count("*").alias("n"))
 
@@ -538,7 +590,9 @@ def _(spark, d):
     return source.read_feed(spark, path)
 
 
-@add("hint_files", "SELECT 'n' || event_id % 3 AS target, CAST(user_id AS VARCHAR) AS id, CAST(event_id % 7 AS INTEGER) AS attempts, event_id * 10 AS next_retry FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0")
+@add("hint_files",
+    "SELECT 'n' || event_id % 3 AS target, CAST(user_id AS VARCHAR) AS id, CAST(event_id % 7 AS INTEGER) AS attempts, event_id "
+    "* 10 AS next_retry FROM events WHERE event_id % 10 <> 0 AND event_id % 11 <> 0")
 def _(spark, d):
     path = new_folder(spark, "hints")
     doc = F.struct(F.lit("users").alias("collection"), F.col("user_id").cast("string").alias("id"), F.lit(1).alias("ver"), F.lit(2).alias("ts"))
@@ -563,7 +617,9 @@ def _feed_files(spark: SparkSession, d: str) -> str:
     return path
 
 
-@add("gsi_streamed", f"{LOG}, newest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn FROM log) SELECT id, event_type AS value FROM newest WHERE rn = 1 AND NOT deleted")
+@add("gsi_streamed",
+    f"{LOG}, newest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id DESC) AS rn FROM log) SELECT id, event_type "
+    f"AS value FROM newest WHERE rn = 1 AND NOT deleted")
 def _(spark, d):
     out, checkpoint = new_folder(spark, "index"), new_folder(spark, "stream")
     feed.maintain_index(spark, _feed_files(spark, d), out, checkpoint, "by_type").awaitTermination()
@@ -615,7 +671,9 @@ def _(spark, d):
     return new.select("id", *(F.to_json(F.try_variant_get("fields", f"$.{name}", "variant")).alias(name) for name in _NEW))
 
 
-@add("variant_migrate_then_find", "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 3 = 0 AND event_id % 7 = 3 AND event_id % 5 IN (0, 1) ORDER BY CASE event_id % 5 WHEN 0 THEN 42 ELSE 7 END DESC, id LIMIT 30")
+@add("variant_migrate_then_find",
+    "SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 3 = 0 AND event_id % 7 = 3 AND event_id % 5 IN (0, 1) "
+    "ORDER BY CASE event_id % 5 WHEN 0 THEN 42 ELSE 7 END DESC, id LIMIT 30")
 def _(spark, d):
     return query.find(old_documents(spark, d), {"city": "t3", "n": {"$gt": 0}}, sort="n", desc=True, limit=30, schema=RULES).select("id")
 
@@ -623,14 +681,18 @@ def _(spark, d):
 # --- migration ------------------------------------------------------------------------------------------
 
 
-@add("migrate_rename_drop_retype", "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS nation, CAST(trunc(c_acctbal) AS BIGINT) AS c_acctbal, 3 AS _schema_ver FROM customer")
+@add("migrate_rename_drop_retype",
+    "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS nation, CAST(trunc(c_acctbal) AS BIGINT) AS c_acctbal, 3 AS _schema_ver "
+    "FROM customer")
 def _(spark, d):
     rules = [migrate.Transform("rename", "c_nationkey", "nation"), migrate.Transform("drop", "c_mktsegment"), migrate.Transform("retype", "c_acctbal", "int")]
     out = migrate.apply(table(spark, d, "customer"), rules)
     return out.select("c_custkey", F.col("nation").cast("string").alias("nation"), "c_acctbal", "_schema_ver")
 
 
-@add("migrate_by_version", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS title, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS c_name, 1 AS _schema_ver FROM customer")
+@add("migrate_by_version",
+    "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS title, CASE WHEN c_custkey % 2 = 1 THEN c_name END AS c_name, "
+    "1 AS _schema_ver FROM customer")
 def _(spark, d):
     out = migrate.apply(table(spark, d, "customer"), [migrate.Transform("rename", "c_name", "title")], F.col("c_custkey") % 2)
     return out.select("c_custkey", "title", "c_name", "_schema_ver")
@@ -639,7 +701,9 @@ def _(spark, d):
 _FORMS = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '42.0' WHEN 1 THEN ' -7x' WHEN 2 THEN 'abc' ELSE 'true' END AS s FROM events"
 
 
-@add("migrate_retype_strings", f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 42 WHEN 1 THEN -7 END AS i, CASE event_id % 4 WHEN 0 THEN 42.0::DOUBLE WHEN 1 THEN -7.0::DOUBLE END AS f, CASE event_id % 4 WHEN 3 THEN true END AS b FROM ({_FORMS})")
+@add("migrate_retype_strings",
+    f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN 42 WHEN 1 THEN -7 END AS i, CASE event_id % 4 WHEN 0 THEN 42.0::DOUBLE WHEN "
+    f"1 THEN -7.0::DOUBLE END AS f, CASE event_id % 4 WHEN 3 THEN true END AS b FROM ({_FORMS})")
 def _(spark, d):
     s = F.expr("CASE event_id % 4 WHEN 0 THEN '42.0' WHEN 1 THEN ' -7x' WHEN 2 THEN 'abc' ELSE 'true' END")
     df = table(spark, d, "events").select("event_id", s.alias("i"), s.alias("f"), s.alias("b"))
@@ -649,7 +713,10 @@ def _(spark, d):
 
 # --- placement ------------------------------------------------------------------------------------------
 
-_FNV = "list_reduce(list_prepend(2166136261::UBIGINT, [ascii(x)::UBIGINT for x in string_split({0}, '')]), lambda h, b: (xor(h, b) * 16777619::UBIGINT) & 4294967295::UBIGINT)"
+_FNV = (
+    "list_reduce(list_prepend(2166136261::UBIGINT, [ascii(x)::UBIGINT for x in string_split({0}, '')]), lambda h, b: (xor(h, "
+    "b) * 16777619::UBIGINT) & 4294967295::UBIGINT)"
+)
 
 
 @add("fnv_token", f"SELECT user_id, CAST({_FNV.format('k')} AS BIGINT) AS token FROM (SELECT DISTINCT user_id, 'users/' || user_id AS k FROM events)")
@@ -670,7 +737,11 @@ def _owner_sql() -> str:
     ring = placement.Ring.build(NODES)
     arms = list(zip(ring.tokens, ring.nodes))
     rows = ", ".join(f"({low}, {high}, '{node}')" for low, (high, node) in zip([-1] + ring.tokens[:-1], arms))
-    return f"WITH ring(low, high, node) AS (VALUES {rows}, ({ring.tokens[-1]}, 4294967295, '{ring.nodes[0]}')), k AS (SELECT user_id, CAST({_FNV.format(chr(39) + 'users/' + chr(39) + ' || user_id')} AS BIGINT) AS t FROM events) SELECT node AS owner, count(*) AS n FROM k JOIN ring ON t > low AND t <= high GROUP BY node"
+    return (
+        f"WITH ring(low, high, node) AS (VALUES {rows}, ({ring.tokens[-1]}, 4294967295, '{ring.nodes[0]}')), k AS (SELECT user_id, "
+        f"CAST({_FNV.format(chr(39) + 'users/' + chr(39) + ' || user_id')} AS BIGINT) AS t FROM events) SELECT node AS owner, count(*) "
+        f"AS n FROM k JOIN ring ON t > low AND t <= high GROUP BY node"
+    )
 
 
 @add("ring_owner_counts", _owner_sql())
@@ -689,7 +760,10 @@ def _planned() -> list[placement.Range]:
 
 def _planned_sql() -> str:
     rows = ", ".join(f"({r.start}, {(r.end or placement.SPACE) - 1}, '{r.owners[0]}')" for r in _planned())
-    return f"WITH plan(low, high, node) AS (VALUES {rows}), k AS (SELECT user_id, CAST({_FNV.format(chr(39) + 'users/' + chr(39) + ' || user_id')} AS BIGINT) AS t FROM events) SELECT node AS owner, count(*) AS n FROM k JOIN plan ON t >= low AND t <= high GROUP BY node"
+    return (
+        f"WITH plan(low, high, node) AS (VALUES {rows}), k AS (SELECT user_id, CAST({_FNV.format(chr(39) + 'users/' + chr(39) + ' || user_id')} "
+        f"AS BIGINT) AS t FROM events) SELECT node AS owner, count(*) AS n FROM k JOIN plan ON t >= low AND t <= high GROUP BY node"
+    )
 
 
 def _users(spark: SparkSession, d: str, epoch: int) -> DataFrame:
@@ -723,22 +797,32 @@ def _(spark, d):
     return spark.createDataFrame([(r.start, r.end, r.owners, r.load) for r in ranges], "start long, end long, owners array<string>, load double")
 
 
-@add("ewma_load", "WITH t AS (SELECT user_id, CAST(floor(epoch_us(ts) // 1000 / 60000) AS BIGINT) AS tick, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, round(sum(0.3 * n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 12) AS rate FROM t GROUP BY user_id")
+@add("ewma_load",
+    "WITH t AS (SELECT user_id, CAST(floor(epoch_us(ts) // 1000 / 60000) AS BIGINT) AS tick, count(*) AS n FROM events GROUP "
+    "BY ALL) SELECT user_id, round(sum(0.3 * n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 12) AS rate FROM t GROUP BY "
+    "user_id")
 def _(spark, d):
     rates = placement.ewma(table(spark, d, "events"), F.expr(MILLIS), ["user_id"], 60000)
     return rates.select("user_id", F.round("rate", 12).alias("rate"))
 
 
-_RATES = f"SELECT event_id % 3 AS node, CAST({_FNV.format('k')} >> 24 AS BIGINT) AS bucket, CAST(floor(ms / 60000) AS BIGINT) AS tick FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms, 'users/' || user_id AS k FROM events)"
+_RATES = (
+    f"SELECT event_id % 3 AS node, CAST({_FNV.format('k')} >> 24 AS BIGINT) AS bucket, CAST(floor(ms / 60000) AS BIGINT) AS tick "
+    f"FROM (SELECT event_id, epoch_us(ts) // 1000 AS ms, 'users/' || user_id AS k FROM events)"
+)
 
 
-@add("bucket_ewma", f"WITH r AS ({_RATES}), t AS (SELECT bucket, tick, count(*) AS n FROM r GROUP BY ALL) SELECT bucket, round(sum(0.3 * n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 10) AS rate FROM t GROUP BY bucket")
+@add("bucket_ewma",
+    f"WITH r AS ({_RATES}), t AS (SELECT bucket, tick, count(*) AS n FROM r GROUP BY ALL) SELECT bucket, round(sum(0.3 * n / 60 "
+    f"* pow(0.7, (SELECT max(tick) FROM t) - tick)), 10) AS rate FROM t GROUP BY bucket")
 def _(spark, d):
     keyed = table(spark, d, "events").withColumn("bucket", F.shiftright(fnv1a(F.concat(F.lit("users/"), F.col("user_id").cast("string"))), 24))
     return placement.ewma(keyed, F.expr(MILLIS), ["bucket"], 60000).select("bucket", F.round("rate", 10).alias("rate"))
 
 
-@add("cluster_load", f"WITH r AS ({_RATES}), t AS (SELECT node, bucket, tick, count(*) AS n FROM r GROUP BY ALL) SELECT bucket, round(sum(0.3 * n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 10) AS rate FROM t GROUP BY bucket")
+@add("cluster_load",
+    f"WITH r AS ({_RATES}), t AS (SELECT node, bucket, tick, count(*) AS n FROM r GROUP BY ALL) SELECT bucket, round(sum(0.3 * "
+    f"n / 60 * pow(0.7, (SELECT max(tick) FROM t) - tick)), 10) AS rate FROM t GROUP BY bucket")
 def _(spark, d):
     keyed = table(spark, d, "events").withColumn("bucket", F.shiftright(fnv1a(F.concat(F.lit("users/"), F.col("user_id").cast("string"))), 24)).withColumn("node", F.col("event_id") % 3)
     return placement.cluster_load(placement.ewma(keyed, F.expr(MILLIS), ["node", "bucket"], 60000)).select("bucket", F.round("rate", 10).alias("rate"))
@@ -747,13 +831,19 @@ def _(spark, d):
 # --- admission ------------------------------------------------------------------------------------------
 
 
-@add("quota_check", f"{LOG}, own AS (SELECT id FROM current WHERE NOT deleted), new AS (SELECT DISTINCT CAST(user_id + 20 AS VARCHAR) AS id FROM events EXCEPT SELECT id FROM own) SELECT 'users' AS collection, (SELECT count(*) FROM own) AS live, (SELECT count(*) FROM new) AS fresh, (SELECT count(*) FROM own) + (SELECT count(*) FROM new) <= 150 OR (SELECT count(*) FROM new) = 0 AS allowed")
+@add("quota_check",
+    f"{LOG}, own AS (SELECT id FROM current WHERE NOT deleted), new AS (SELECT DISTINCT CAST(user_id + 20 AS VARCHAR) AS id FROM "
+    f"events EXCEPT SELECT id FROM own) SELECT 'users' AS collection, (SELECT count(*) FROM own) AS live, (SELECT count(*) FROM "
+    f"new) AS fresh, (SELECT count(*) FROM own) + (SELECT count(*) FROM new) <= 150 OR (SELECT count(*) FROM new) = 0 AS allowed")
 def _(spark, d):
     writes = table(spark, d, "events").select(F.lit("users").alias("collection"), (F.col("user_id") + 20).cast("string").alias("id"))
     return admission.quota(lww.lww(version_log(spark, d), "event_id"), writes, 150)
 
 
-@add("tenant_usage", "WITH u AS (SELECT substr(event_type, 1, 1) AS name, count(*) AS used FROM events GROUP BY 1), t AS (SELECT * FROM (VALUES ('c', 10), ('v', 100000000), ('zz', 5)) AS t(name, max_docs)) SELECT t.name, coalesce(used, 0) AS used, max_docs, coalesce(used, 0) <= max_docs AS within FROM t LEFT JOIN u USING (name)")
+@add("tenant_usage",
+    "WITH u AS (SELECT substr(event_type, 1, 1) AS name, count(*) AS used FROM events GROUP BY 1), t AS (SELECT * FROM (VALUES "
+    "('c', 10), ('v', 100000000), ('zz', 5)) AS t(name, max_docs)) SELECT t.name, coalesce(used, 0) AS used, max_docs, coalesce(used, "
+    "0) <= max_docs AS within FROM t LEFT JOIN u USING (name)")
 def _(spark, d):
     docs = table(spark, d, "events").select(F.concat(F.substring("event_type", 1, 1), F.lit(".docs")).alias("collection"), F.lit(False).alias("deleted"))
     tenants = spark.createDataFrame([("c", 10), ("v", 100000000), ("zz", 5)], "name string, max_docs int")
@@ -766,7 +856,11 @@ def _(spark, d):
     return admission.authenticated(table(spark, d, "events").withColumnRenamed("event_type", "token"), tenants).select("event_id", "tenant")
 
 
-@add("tenant_admission", "WITH u AS (SELECT substr(event_type, 1, 1) AS name, count(*) AS used FROM events GROUP BY 1), t AS (SELECT * FROM (VALUES ('c', 10, 1), ('v', 100000000, 5), ('zz', 5, 5), ('e', 0, 9)) AS t(name, most, delta)) SELECT t.name, coalesce(used, 0) AS used, CAST(delta AS BIGINT) AS delta, most <= 0 OR coalesce(used, 0) + delta <= most AS admitted FROM t LEFT JOIN u USING (name)")
+@add("tenant_admission",
+    "WITH u AS (SELECT substr(event_type, 1, 1) AS name, count(*) AS used FROM events GROUP BY 1), t AS (SELECT * FROM (VALUES "
+    "('c', 10, 1), ('v', 100000000, 5), ('zz', 5, 5), ('e', 0, 9)) AS t(name, most, delta)) SELECT t.name, coalesce(used, 0) "
+    "AS used, CAST(delta AS BIGINT) AS delta, most <= 0 OR coalesce(used, 0) + delta <= most AS admitted FROM t LEFT JOIN u USING "
+    "(name)")
 def _(spark, d):
     docs = table(spark, d, "events").select(F.concat(F.substring("event_type", 1, 1), F.lit(".docs")).alias("collection"), F.lit(False).alias("deleted"))
     rows = [("c", 10, 1), ("v", 100000000, 5), ("zz", 5, 5), ("e", 0, 9)]
@@ -774,7 +868,10 @@ def _(spark, d):
     return admission.tenant_admission(docs, tenants.drop("delta"), tenants.select("name", "delta"))
 
 
-@add("epoch_fence", "SELECT event_id, user_id, epoch, coalesce(epoch >= max(epoch) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM (SELECT event_id, user_id, event_id * 7 % 11 AS epoch FROM events)")
+@add("epoch_fence",
+    "SELECT event_id, user_id, epoch, coalesce(epoch >= max(epoch) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN "
+    "UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted FROM (SELECT event_id, user_id, event_id * 7 % 11 AS epoch FROM "
+    "events)")
 def _(spark, d):
     records = table(spark, d, "events").select("event_id", "user_id", (F.col("event_id") * 7 % 11).alias("epoch"))
     return admission.fence(records, "event_id", ["user_id"])
@@ -788,7 +885,10 @@ _LIMITED = "SELECT event_id, user_id, epoch_us(ts) // 1000 AS tm, row_number() O
 _FULL = "least(3.0::DOUBLE, s.tokens + (t.tm - s.tm)::DOUBLE / 1000 * 0.001::DOUBLE)"
 
 
-@add("rate_limit", f"WITH RECURSIVE t AS ({_LIMITED}), s AS (SELECT event_id, user_id, n, tm, 2.0::DOUBLE AS tokens, true AS allowed FROM t WHERE n = 1 UNION ALL SELECT t.event_id, t.user_id, t.n, t.tm, {_FULL} - CASE WHEN {_FULL} >= 1 THEN 1 ELSE 0 END, {_FULL} >= 1 FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1) SELECT event_id, user_id, allowed FROM s")
+@add("rate_limit",
+    f"WITH RECURSIVE t AS ({_LIMITED}), s AS (SELECT event_id, user_id, n, tm, 2.0::DOUBLE AS tokens, true AS allowed FROM t WHERE "
+    f"n = 1 UNION ALL SELECT t.event_id, t.user_id, t.n, t.tm, {_FULL} - CASE WHEN {_FULL} >= 1 THEN 1 ELSE 0 END, {_FULL} >= "
+    f"1 FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1) SELECT event_id, user_id, allowed FROM s")
 def _(spark, d):
     return admission.rate_limit(_timed(spark, d), "user_id", "at", "event_id", rps=0.001, burst=3)
 
@@ -796,7 +896,10 @@ def _(spark, d):
 _TIMED = "SELECT event_id, user_id, epoch_us(ts) // 1000 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events"
 
 
-@add("idempotent_requests", f"WITH RECURSIVE t AS ({_TIMED}), s AS (SELECT event_id, user_id, n, tm AS ran, true AS executed FROM t WHERE n = 1 UNION ALL SELECT t.event_id, t.user_id, t.n, CASE WHEN t.tm - s.ran >= 600000 THEN t.tm ELSE s.ran END, t.tm - s.ran >= 600000 FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1) SELECT event_id, user_id, executed FROM s")
+@add("idempotent_requests",
+    f"WITH RECURSIVE t AS ({_TIMED}), s AS (SELECT event_id, user_id, n, tm AS ran, true AS executed FROM t WHERE n = 1 UNION "
+    f"ALL SELECT t.event_id, t.user_id, t.n, CASE WHEN t.tm - s.ran >= 600000 THEN t.tm ELSE s.ran END, t.tm - s.ran >= 600000 "
+    f"FROM s JOIN t ON t.user_id = s.user_id AND t.n = s.n + 1) SELECT event_id, user_id, executed FROM s")
 def _(spark, d):
     return admission.idempotent(_timed(spark, d), "user_id", "at", "event_id", 600_000)
 
@@ -806,7 +909,9 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", admission.backoff(F.col("event_id") % 30).alias("wait"))
 
 
-@add("hint_queue", f"{LOG}, h AS (SELECT *, row_number() OVER (PARTITION BY replica, id ORDER BY ver DESC, ts DESC, event_id DESC) AS rn FROM log) SELECT CAST(replica AS VARCHAR) AS target, id, ver FROM h WHERE rn = 1 ORDER BY event_id DESC LIMIT 10000")
+@add("hint_queue",
+    f"{LOG}, h AS (SELECT *, row_number() OVER (PARTITION BY replica, id ORDER BY ver DESC, ts DESC, event_id DESC) AS rn FROM "
+    f"log) SELECT CAST(replica AS VARCHAR) AS target, id, ver FROM h WHERE rn = 1 ORDER BY event_id DESC LIMIT 10000")
 def _(spark, d):
     hints = version_log(spark, d).select(F.col("replica").cast("string").alias("target"), "collection", "id", "ver", "ts", F.col("event_id").alias("seq"))
     return admission.pending_hints(hints).select("target", "id", "ver")
@@ -837,7 +942,13 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return log.select(F.col("event_id").alias("lsn"), payload.alias("payload"))
 
 
-_PAID = f"{LOG}, told AS (SELECT id, ver, event_id, 0 AS n FROM log WHERE event_id > 100 AND event_id % 5 <> 0 UNION ALL SELECT 'x' || id, ver, event_id, 1 FROM log WHERE event_id > 100 AND event_id % 5 <> 0 AND event_id % 4 = 0), best AS (SELECT *, max(ver) OVER (PARTITION BY id ORDER BY event_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM told), held AS (SELECT id, max(ver) AS v FROM log WHERE event_id <= 100 GROUP BY id), ok AS (SELECT b.* FROM best b LEFT JOIN held h ON h.id = b.id WHERE (seen IS NULL OR ver > seen) AND (v IS NULL OR ver > v))"
+_PAID = (
+    f"{LOG}, told AS (SELECT id, ver, event_id, 0 AS n FROM log WHERE event_id > 100 AND event_id % 5 <> 0 UNION ALL SELECT 'x' "
+    f"|| id, ver, event_id, 1 FROM log WHERE event_id > 100 AND event_id % 5 <> 0 AND event_id % 4 = 0), best AS (SELECT *, max(ver) "
+    f"OVER (PARTITION BY id ORDER BY event_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM told), held AS "
+    f"(SELECT id, max(ver) AS v FROM log WHERE event_id <= 100 GROUP BY id), ok AS (SELECT b.* FROM best b LEFT JOIN held h ON "
+    f"h.id = b.id WHERE (seen IS NULL OR ver > seen) AND (v IS NULL OR ver > v))"
+)
 
 
 @add("shared_log_recover", f"{_PAID} SELECT id, ver FROM ok")
@@ -850,7 +961,9 @@ def _(spark, d):
     return source.recover(version_log(spark, d).where("event_id <= 100"), _entries(spark, d), 100)[1]
 
 
-@add("shared_log_append", "SELECT (SELECT max(event_id) FROM events WHERE event_id <= 300) + row_number() OVER (ORDER BY event_id) AS lsn, CAST(5 AS BIGINT) AS ts, props AS payload FROM events WHERE event_id > 300")
+@add("shared_log_append",
+    "SELECT (SELECT max(event_id) FROM events WHERE event_id <= 300) + row_number() OVER (ORDER BY event_id) AS lsn, CAST(5 AS "
+    "BIGINT) AS ts, props AS payload FROM events WHERE event_id > 300")
 def _(spark, d):
     events = table(spark, d, "events")
     held = events.where("event_id <= 300").select(F.col("event_id").alias("lsn"))
