@@ -206,6 +206,9 @@ def test_partition_ids(spark):
     assert [r[0] for r in df.select(partition.sort_part(F.col("id"))).collect()] == ["001|x", "", "2", ""[:0] or "1"]
     assert [r.problem is None for r in partition.check_ids(df, "user").collect()] == [True, False, False, False]
     assert not partition.single_partition(df).first().single
+    with pytest.raises(ValueError):
+        partition.range_query(df, "bob", partition=F.col("user"), sort=F.col("id"), config={"rf": 3})
+    assert partition.range_query(df, "bob", partition=F.col("user"), sort=F.col("id"), config={"partition_field": "user"}).count() == 1
 
 
 def test_inverted_index_of_variants(spark):

@@ -28,8 +28,10 @@ def variant_entries(current: DataFrame) -> DataFrame:
     return exploded.select("collection", "id", F.col("key").alias("field"), F.to_json("value").alias("value"))
 
 
-def postings(index: DataFrame) -> DataFrame:
-    return index.groupBy("field", "value").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+def postings(index: DataFrame, parts: int = 1) -> DataFrame:
+    """(field, value, part, ids): sorted ids of each value. With several ``parts`` a common value's ids, dealt by hash, needn't meet in one row."""
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")
+    return index.groupBy("field", "value", part).agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
 def lookup(index: DataFrame, field: str, value: str) -> DataFrame:

@@ -17,8 +17,12 @@ def sort_part(id: Column) -> Column:
     return F.when(F.instr(id, "|") > 0, F.substring(id, F.instr(id, "|") + 1, F.char_length(id))).otherwise(F.lit(""))
 
 
-def range_query(df: DataFrame, pk, *, partition: Column, sort: Column, gte: str | None = None, lte: str | None = None, gt: str | None = None, lt: str | None = None, desc: bool = False, limit: int = 0, schema: list[migrate.Transform] | None = None) -> DataFrame:
-    """Documents of one partition within string bounds of the sort part, in its order. A limit of 0 is none."""
+def range_query(df: DataFrame, pk, *, partition: Column, sort: Column, gte: str | None = None, lte: str | None = None, gt: str | None = None, lt: str | None = None, desc: bool = False, limit: int = 0, schema: list[migrate.Transform] | None = None, config: dict | None = None) -> DataFrame:
+    """Documents of one partition within string bounds of the sort part, in its order. A limit of 0 is none. ``config``: the collection's, which must have a partition field."""
+    if config is not None and not config.get("partition_field"):
+        raise ValueError("the collection has no partition field")
+    if limit < 0:
+        raise ValueError("the limit must be 0 or more")
     out = df.where(partition == F.lit(pk))
     for bound, op in ((gte, "__ge__"), (lte, "__le__"), (gt, "__gt__"), (lt, "__lt__")):
         if bound is not None:

@@ -417,7 +417,8 @@ _INDEX_FIELDS = ["p_brand", "p_size"]
     "SELECT 'p_brand' AS field, '\"' || p_brand || '\"' AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'p_size', "
     "CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY p_size")
 def _(spark, d):
-    return index.postings(index.entries(table(spark, d, "part"), F.col("p_partkey").cast("string"), _INDEX_FIELDS)).select("field", "value", F.size("ids").cast("long").alias("n"))
+    rows = index.postings(index.entries(table(spark, d, "part"), F.col("p_partkey").cast("string"), _INDEX_FIELDS), parts=4)
+    return rows.groupBy("field", "value").agg(F.sum(F.size("ids")).alias("n"))
 
 
 @add("inverted_lookup", "SELECT CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size = 15 ORDER BY 1")
