@@ -34,7 +34,7 @@ from .common import documents, rows_of
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Bounds of the tables that a worker keeps: states, pieces' ids, neighbours that were tested.
-STATES, PIECES, PAIRS = 25_000, 400_000, 250_000
+STATES, PIECES, PAIRS = 25_000, 700_000, 500_000
 
 
 def pattern_of(public: str) -> regex.Pattern:
@@ -88,7 +88,7 @@ class Transducer:
         self.tokens = {i: t for t, i in ranks.items()}
         self.open = {t[:k] for t in ranks for k in range(1, len(t))}
         self.lookahead = max(map(len, ranks))
-        self.fits_: dict[tuple[int, int], bool] = {}
+        self.fits_: dict[int, bool] = {}  # by both ids in one number
         # states by number: their guesses, their known steps, and what the end of a piece writes
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
@@ -106,7 +106,7 @@ class Transducer:
         return found
 
     def fits(self, last: int, token: int) -> bool:
-        key = (last, token)
+        key = (last + 1) << 32 | token
         found = self.fits_.get(key)
         if found is None:
             if len(self.fits_) >= PAIRS:
@@ -150,7 +150,7 @@ class Transducer:
                 token = ranks.get(piece[start:end])
                 if token is not None:
                     last = ends[start][0]
-                    good = known((last, token))
+                    good = known((last + 1) << 32 | token)
                     if good or good is None and fits(last, token):
                         ends.append((token, start))
                         break
