@@ -19,6 +19,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 256
 
 
+#: Bytes in a batch of rows that goes to Python, unless the session has less: both sides hold several copies of a batch.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session's Arrow batches are bounded by BATCH_BYTES from now on, so that long texts don't fill a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if int(conf.get(key).rstrip("bB")) > BATCH_BYTES:
+            conf.set(key, str(BATCH_BYTES))
+    except ValueError:
+        conf.set(key, str(BATCH_BYTES))  # it was written with another unit
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
@@ -39,7 +54,7 @@ def release(*frames: DataFrame) -> None:
 
 def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns that operators read; other columns, whatever their names, don't matter."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:

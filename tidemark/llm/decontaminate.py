@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import rows_of, small_batches
 
 LIMIT, VERIFY, GRAM = 0.6, 0.75, 3
 K1, B = 1.2, 0.75
@@ -217,7 +217,7 @@ class Index:
 
 def _passes(benchmark: DataFrame, max_items: int) -> Iterator:
     """Broadcast parts of the indexes, each over at most about ``max_items`` items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = small_batches(benchmark).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     spark, parts = benchmark.sparkSession, max(1, -(-items.count() // max_items))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
