@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from ..sources.scratch import new_folder as shared_dir
 #: Code points that separate words: space and TAB to CR. bytes.split() splits on just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+SPACE, PART = re.compile(rb"[ \t-\r]"), 1 << 18
+
 #: Rows turned into Python objects at once, so that a batch with long texts stays small.
 SLICE = 256
 
@@ -84,6 +87,17 @@ class WordHashes(dict):
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def of(self, raw: bytes, lower: bool = False) -> np.ndarray:
+        """Hashes of a text's words, PART bytes at a time, so that a very long text isn't held as a list of words."""
+        out, at = [], 0
+        while at < len(raw):
+            space = SPACE.search(raw, at + PART)
+            end = space.start() if space else len(raw)
+            part = raw[at:end]
+            out.append(self.array((part.lower() if lower else part).split()))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""

@@ -50,7 +50,7 @@ FACTORS = _RNG.integers(1, 1 << 63, 2 * COLLECTION * BLOCK, np.uint64) * np.uint
 
 def shingle_set(text: str | None, hashes: WordHashes, k: int) -> np.ndarray:
     """Sorted distinct hashes of runs of ``k`` words; A-Z are lower-cased."""
-    return np.unique(shingles(hashes.array(text.encode().lower().split()), k)) if text else np.zeros(0, np.uint64)
+    return np.unique(shingles(hashes.of(text.encode(), lower=True), k)) if text else np.zeros(0, np.uint64)
 
 
 def blocks_of(own: np.ndarray) -> np.ndarray:
